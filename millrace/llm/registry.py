@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontamination import op2_decontamination
 from millrace.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from millrace.llm.sentencepiece_codec import op3_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_sentencepiece": op3_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
