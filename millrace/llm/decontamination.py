@@ -172,7 +172,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a verified overlap, in the columns of docs. Rows without id stay."""
     bad = staged(find_overlaps(docs, bench, id_col, text_col).select(F.col(id_col).alias("bad_id")).distinct(), "bench-docs")
-    return docs.join(bad, docs[id_col] == bad["bad_id"], "left_anti")
+    return docs.join(bad.hint("merge"), F.col(id_col) == F.col("bad_id"), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class of equal texts, in the columns of docs. Rows without id stay."""
+    bad = exact_dedup(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("bad_id")).distinct()
+    return docs.join(staged(bad, "radix-dropped").hint("merge"), F.col(id_col) == F.col("bad_id"), "left_anti")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

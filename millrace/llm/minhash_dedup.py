@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, in the columns of docs."""
     bad = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(staged(bad, "near-dropped"), docs[id_col].cast("long") == F.col("bad_id"), "left_anti")
+    return docs.join(staged(bad, "near-dropped").hint("merge"), docs[id_col].cast("long") == F.col("bad_id"), "left_anti")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
