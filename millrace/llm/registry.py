@@ -10,9 +10,11 @@ from millrace.llm.decontamination import op2_decontamination
 from millrace.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from millrace.llm.language_id import op8_language_id
 from millrace.llm.minhash_dedup import op7_minhash
+from millrace.llm.pii import op1_pii
 from millrace.llm.sentencepiece_codec import op3_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_minhash": op7_minhash,
