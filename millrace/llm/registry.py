@@ -12,11 +12,13 @@ from millrace.llm.language_id import op8_language_id
 from millrace.llm.minhash_dedup import op7_minhash
 from millrace.llm.pii import op1_pii
 from millrace.llm.sentencepiece_codec import op3_sentencepiece
+from millrace.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_sentencepiece": op3_sentencepiece,
+    "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
     "op10_exact_dedup": op10_exact_dedup,
