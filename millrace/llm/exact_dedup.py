@@ -52,7 +52,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         groups = staged(groups, "radix-groups")
         end = start + width
-        joined = keyed.join(groups, (F.col("grp") == F.col("g_grp")) & (F.col("size") == F.col("g_size")) & (F.col("digit") == F.col("g_digit")), "left")
+        # Sort-merge at every size: the repeated digits grow with the input.
+        joined = keyed.join(groups.hint("merge"), (F.col("grp") == F.col("g_grp")) & (F.col("size") == F.col("g_size")) & (F.col("digit") == F.col("g_digit")), "left")
         more = F.col("next").isNotNull() & (F.col("size") > end)
         joined = staged(
             joined.select(
