@@ -11,6 +11,7 @@ from millrace.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from millrace.llm.language_id import op8_language_id
 from millrace.llm.minhash_dedup import op7_minhash
 from millrace.llm.pii import op1_pii
+from millrace.llm.secret_scan import op9_secret_scan
 from millrace.llm.sentencepiece_codec import op3_sentencepiece
 from millrace.llm.warc import op6_warc
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
+    "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
