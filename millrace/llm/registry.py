@@ -13,12 +13,16 @@ from millrace.llm.minhash_dedup import op7_minhash
 from millrace.llm.pii import op1_pii
 from millrace.llm.secret_scan import op9_secret_scan
 from millrace.llm.sentencepiece_codec import op3_sentencepiece
+from millrace.llm.substring_dedup import op5_substring_dedup
+from millrace.llm.suffix_dedup import op4_suffix_dedup
 from millrace.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
