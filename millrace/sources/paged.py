@@ -9,24 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 
+from millrace.plans.checkpoints import cut
 
-def paged_table(pages: DataFrame, first_key: Any, max_pages: int = 1000) -> DataFrame:
+
+def paged_table(pages: DataFrame, first_key: Any, max_pages: int = 1_000_000) -> DataFrame:
     """(page_no, item_pos, item) along page_key -> next_key from first_key.
 
     pages has page_key, items (array) and next_key. The chain ends at a null key, a missing page or an
-    empty page. Only the chain's keys go through the recursion; items join it afterwards.
+    empty page; more than max_pages (a cycle) fail. The order of the chain is found by doubling: each
+    round joins what is reached with jumps twice as long, so a chain of n pages takes log n rounds.
+    Only keys go through the rounds; items join at the end.
     """
-    spark, view = pages.sparkSession, f"_pages_{id(pages)}"
-    kind = dict(pages.dtypes)["page_key"]
-    pages.select("page_key", "next_key", F.size("items").alias("n")).createOrReplaceTempView(view)
-    first = "NULL" if first_key is None else f"'{first_key}'" if isinstance(first_key, str) else str(first_key)
-    chain = spark.sql(
-        f"WITH RECURSIVE chain(page_no, page_key, next_key) MAX RECURSION LEVEL {max_pages} AS ("
-        f" SELECT 1L, page_key, next_key FROM {view} WHERE page_key = CAST({first} AS {kind}) AND n > 0"
-        f" UNION ALL SELECT page_no + 1L, p.page_key, p.next_key FROM chain c JOIN {view} p ON p.page_key = c.next_key WHERE p.n > 0)"
-        f" SELECT page_no, page_key AS chain_key FROM chain"
-    )
-    joined = chain.join(pages.select("page_key", "items"), F.col("chain_key") == F.col("page_key"))
+    keys = cut(pages.where(F.size("items") > 0).select("page_key", "next_key"))
+    jump = keys.join(keys.select(F.col("page_key").alias("k")), F.col("next_key") == F.col("k"), "left_semi")
+    jump = cut(jump.select(F.col("page_key").alias("a"), F.col("next_key").alias("b")))
+    reached = cut(keys.where(F.col("page_key") == F.lit(first_key)).select(F.col("page_key").alias("chain_key"), F.lit(1).cast("long").alias("page_no")))
+    length = 1
+    while True:
+        more = cut(reached.join(jump, F.col("chain_key") == F.col("a")).select(F.col("b").alias("chain_key"), (F.col("page_no") + length).alias("page_no")))
+        if more.isEmpty():
+            break
+        reached = cut(reached.unionAll(more))
+        length *= 2
+        if length > 2 * max_pages:
+            raise RuntimeError(f"more than {max_pages} pages from {first_key!r}")
+        jump = cut(jump.join(jump.select(F.col("a").alias("via"), F.col("b").alias("c")), F.col("b") == F.col("via")).select("a", F.col("c").alias("b")))
+    joined = reached.join(pages.select("page_key", "items"), F.col("chain_key") == F.col("page_key"))
     return joined.select("page_no", F.posexplode("items").alias("item_pos", "item"))
 
 
