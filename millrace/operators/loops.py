@@ -26,10 +26,10 @@ def _frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
     for row in rows:
         held.append(row)
         if len(held) >= _BATCH:
-            yield pd.DataFrame(held, columns=names)
+            yield pd.DataFrame(held, columns=names, dtype=object)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=names)
+        yield pd.DataFrame(held, columns=names, dtype=object)
 
 
 def unfold_flow_with(seeds: DataFrame, seed: str, step: Callable[[Any], tuple[Any, Any] | None], element_type: str, max_steps: int = 1_000_000) -> DataFrame:

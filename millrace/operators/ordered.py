@@ -41,7 +41,7 @@ def accumulate_with(stream: Stream, value: str, zero: Any, fold: Callable[[Any,
         return rows.assign(**{out: held})
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in stream.df.dtypes), f"`{out}` {out_type}"])
-    return stream.df.groupBy(*(stream.by or [F.lit(0)])).applyInPandas(run, schema)
+    return stream.df.groupBy(*stream.by).applyInPandas(run, schema)
 
 
 def runs(stream: Stream, unchanged: Column | str, max_duration_us: int | None = None) -> DataFrame:

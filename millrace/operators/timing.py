@@ -69,7 +69,7 @@ def delay_strategy(stream: Stream, strategy: Callable[[], Callable[[dict], int]]
         return rows.assign(**{out: held})
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in stream.df.dtypes), f"`{out}` long"])
-    return stream.df.groupBy(*(stream.by or [F.lit(0)])).applyInPandas(run, schema)
+    return stream.df.groupBy(*stream.by).applyInPandas(run, schema)
 
 
 def pulse(stream: Stream, interval_us: int, initially_open: bool = False, out: str = "emit_us") -> DataFrame:
@@ -214,4 +214,4 @@ def keep_alive_concat(stream: Stream, size: int, interval_us: int, element: str,
         return out[[*by, "emit_order", "emit_us", element]]
 
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in by), "emit_order long, emit_us long", f"`{element}` {element_type or kinds[element]}"])
-    return stream.df.groupBy(*(by or [F.lit(0)])).applyInPandas(run, schema)
+    return stream.df.groupBy(*by).applyInPandas(run, schema)

@@ -90,7 +90,7 @@ class _TailStream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = max(start["at"], os.path.getsize(self.path))
-        return _chunks(self.path, start["at"], end, self.size), {"at": end}
+        return iter(list(_chunks(self.path, start["at"], end, self.size))), {"at": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return _chunks(self.path, start["at"], end["at"], self.size)

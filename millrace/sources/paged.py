@@ -62,7 +62,7 @@ def paged_source(spark: SparkSession, name: str, schema: str, first_key: Any, fe
             if start["key"] is None:
                 return iter([]), start
             rows, key = fetch(start["key"])
-            return iter(rows), {"key": key if rows else None}
+            return iter(list(rows)), {"key": key if rows else None}
 
         def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
             return iter(fetch(start["key"])[0]) if start["key"] is not None else iter([])
