@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +16,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/millrace/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this package has left below the shared folder.
+
+    For the end of a job: results that are not written yet may still read them.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/millrace")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
