@@ -7,11 +7,12 @@ one class from the start and one row afterwards.
 
 Links are confirmed on whole sets. Inside a band's bucket pairs are not all confirmed:
  1. each member against the bucket's smallest member; components of these links;
- 2. then only members of different components, compared by a 512-byte min-max sketch inside the task
+ 2. then only members of different components, compared by a 1,024-byte min-max sketch inside the task
     that holds the bucket (a bucket of more than BLOCK members is dealt out in pairs of blocks);
     pairs that may reach the threshold are confirmed on whole sets like the rest.
 Between different components every pair of a bucket is looked at, so no link is capped away. The
-sketch estimate has a standard deviation of 0.02 at the threshold and the cut lies 0.09 below it.
+sketch estimate has a standard deviation of 0.0135 at the threshold and the cut lies 0.06 below it. A
+pair is handed on in the first band that it shares only.
 
 Sets leave the scan only for documents that share a bucket (found with a bit table of fixed size, no
 document's text is shuffled).
@@ -33,8 +34,8 @@ from millrace.llm.components import connected
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 26, 3
-SKETCH = 256
-SKETCH_CUT = 0.66
+SKETCH = 512
+SKETCH_CUT = 0.69
 BLOCK = 2048
 _BITS = 26
 
@@ -76,6 +77,15 @@ def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     return hashes[new], np.searchsorted(doc[new], np.arange(len(size) + 1))
 
 
+def _bands(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bucket of each set in each band."""
+    got = _extremes(sets, starts, -(-BANDS * ROWS // 2), 11)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), got.shape[:2])
+    for r in range(ROWS):
+        h = _text.mix(h * np.uint64(0x9E3779B97F4A7C15) + got[:, :, r])
+    return h
+
+
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -95,11 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) ->
                     starts = cuts[:-1][full]
                     k1[full] = np.add.reduceat(sets, starts)
                     k2[full] = np.add.reduceat(_text.mix(sets + np.uint64(1)), starts)
-                    got = _extremes(sets, starts, -(-BANDS * ROWS // 2), 11)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-                    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), got.shape[:2])
-                    for r in range(ROWS):
-                        h = _text.mix(h * np.uint64(0x9E3779B97F4A7C15) + got[:, :, r])
-                    buckets[full] = h
+                    buckets[full] = _bands(sets, starts)
                 bounds = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(size.astype(np.int64)), pa.array(_text.signed(k1)), pa.array(_text.signed(k2)), _text.list_array(_text.signed(buckets[full].ravel()), bounds, pa.int64())],
@@ -121,14 +127,14 @@ def _bit_table(ids: DataFrame) -> np.ndarray:
             slot = _slot(np.asarray(batch.column(0), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array((slot >> 6).astype(np.int32)), pa.array(_text.signed(np.uint64(1) << (slot & 63).astype(np.uint64)))], names=["word", "bit"])
 
-    rows = ids.mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = ids.mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (_BITS - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, shingles, sketch) of the wanted ids, and perhaps of some others."""
+    """(id, shingles, sketch, bands) of the wanted ids, and perhaps of some others."""
     table = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +150,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k:
                     continue
                 bounds = np.concatenate([cuts[:-1][full], [cuts[-1]]])
                 sketch = (_extremes(sets, bounds[:-1], SKETCH, 12) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(full)), _text.list_array(_text.signed(sets), bounds, pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())], names=["id", "shingles", "sketch"])
+                held = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (sketch, _bands(sets, bounds[:-1]))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(full)), _text.list_array(_text.signed(sets), bounds, pa.int64()), *held], names=["id", "shingles", "sketch", "bands"])
 
-    found = _inputs(docs, id_col, text_col).mapInArrow(run, "id long, shingles array<long>, sketch binary")
-    return staged(found.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")), "near-sets")
+    found = _inputs(docs, id_col, text_col).mapInArrow(run, "id long, shingles array<long>, sketch binary, bands binary")
+    return staged(found.groupBy("id").agg(*[F.first(c).alias(c) for c in ("shingles", "sketch", "bands")]), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,15 +170,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _likely_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of different components in a bucket whose sketches may reach the threshold.
 
-    rows: bucket, members (size of the bucket), id, component, sketch.
+    rows: bucket, members (size of the bucket), id, component, sketch, bands.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.select("bucket", "id", "component", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    one = rows.where("blocks = 1").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "block", "id", "component", "sketch")
+    rows = rows.select("bucket", "id", "component", "sketch", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    one = rows.where("blocks = 1").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "block", "id", "component", "sketch", "bands")
     many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "sketch")
+    many = many.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "sketch", "bands")
 
-    def compare(lo: int, hi: int, block: np.ndarray, ids: np.ndarray, comps: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(bucket: int, lo: int, hi: int, block: np.ndarray, ids: np.ndarray, comps: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = int(np.ceil(SKETCH_CUT * sketch.shape[1]))
         here = np.flatnonzero(block == lo)
         there = here if lo == hi else np.flatnonzero(block == hi)
@@ -186,6 +193,8 @@ def _likely_pairs(rows: DataFrame) -> DataFrame:
                 continue
             same = np.count_nonzero(other[apart] == sketch[i], axis=1)
             hit = there[apart[same >= cut]]
+            shared = bands[hit] == bands[i]
+            hit = hit[bands[i][shared.argmax(axis=1)] == bucket]
             a.append(np.full(len(hit), ids[i]))
             b.append(ids[hit])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -203,7 +212,8 @@ def _likely_pairs(rows: DataFrame) -> DataFrame:
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 part = table.slice(x, y - x)
                 sketch = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(y - x, -1)
-                a, b = compare(int(key[1, x]), int(key[2, x]), *(np.asarray(part.column(c), np.int64) for c in (3, 4, 5)), sketch)
+                bands = np.frombuffer(b"".join(part.column(7).to_pylist()), np.int64).reshape(y - x, -1)
+                a, b = compare(*key[:, x].tolist(), *(np.asarray(part.column(c), np.int64) for c in (3, 4, 5)), sketch, bands)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
@@ -242,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = staged(placed, "near-placed")
     open_buckets = placed.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("o_bucket")
     mixed = placed.join(staged(open_buckets, "near-open"), F.col("bucket") == F.col("o_bucket")).select("bucket", "members", F.col("rep").alias("id"), "component")
-    sketched = mixed.join(sets.select(F.col("id").alias("k_id"), "sketch"), F.col("id") == F.col("k_id")).select("bucket", "members", "id", "component", "sketch")
+    sketched = mixed.join(sets.select(F.col("id").alias("k_id"), "sketch", "bands"), F.col("id") == F.col("k_id")).select("bucket", "members", "id", "component", "sketch", "bands")
     more = staged(_confirmed(staged(_likely_pairs(sketched), "near-likely"), sets, percent), "near-links")
     if not more.isEmpty():
         found = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
@@ -263,3 +273,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS s FROM w WHERE len(ws) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS g FROM win),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT node, b FROM reach JOIN both_ways ON seen = a)
+SELECT r.node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(seen) AS component_id, r.node = min(seen) AS kept
+FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.node GROUP BY r.node
+"""
