@@ -84,7 +84,7 @@ def benchmark_tables(bench: DataFrame, id_col: str, text_col: str) -> tuple[Data
 def _bit_table(seeds: DataFrame) -> np.ndarray:
     """2**_BITS bits; bounded by its own size, however many seeds there are."""
     slot = F.shiftrightunsigned("hash", 64 - _BITS)
-    rows = seeds.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - _BITS}) & 63 as int))")).alias("bits")).toPandas()
+    rows = seeds.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - _BITS}) & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (_BITS - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm.windows import Plan, merged, repeated_windows
+from millrace.llm.windows import Plan, block_spans, repeated_windows
 
 SIZE = 50
 GRAM = 20
@@ -73,19 +73,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_windows(rows, _plan(size)).withColumnRenamed("id", "s_id")
+    plan = _plan(size)
+    spans, copies = repeated_windows(rows, plan)
+    spans = spans.withColumnRenamed("id", "s_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                held = batch.column(2).slice(at, len(ids)).to_pylist()
+                held = block_spans(plan, copies, ids, data, offsets, batch.column(2).slice(at, len(ids)).to_pylist())
                 at += len(ids)
                 raw, cuts = data.tobytes(), offsets.tolist()
                 counts, removed, kept = [], [], []
-                for a, b, found in zip(cuts[:-1], cuts[1:], held, strict=True):
+                for a, b, runs in zip(cuts[:-1], cuts[1:], held, strict=True):
                     words = raw[a:b].split()
-                    runs = merged(found, len(words))
                     edge, parts = 0, []
                     for x, y in runs:
                         parts += words[edge:x]
@@ -109,3 +110,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w),
+grams AS (SELECT doc_id, s, array_to_string(ws[s:s + 49], ' ') AS g FROM win),
+least AS (SELECT g, min(doc_id) AS m FROM grams GROUP BY g),
+dup AS (SELECT doc_id, s FROM grams JOIN least USING (g) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, s + k AS p FROM dup, range(50) t(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""

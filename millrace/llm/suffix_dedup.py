@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm.windows import Plan, merged, repeated_windows
+from millrace.llm.windows import Plan, block_spans, repeated_windows
 
 SIZE = 200
 GRAM = 72
@@ -111,18 +111,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_windows(rows, _plan(size)).withColumnRenamed("id", "s_id")
+    plan = _plan(size)
+    spans, copies = repeated_windows(rows, plan)
+    spans = spans.withColumnRenamed("id", "s_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                held = batch.column(2).slice(at, len(ids)).to_pylist()
+                held = block_spans(plan, copies, ids, data, offsets, batch.column(2).slice(at, len(ids)).to_pylist())
                 at += len(ids)
                 raw, cuts = data.tobytes(), offsets.tolist()
                 removed, kept = [], []
-                for a, b, found in zip(cuts[:-1], cuts[1:], held, strict=True):
-                    runs = merged(found, b - a)
+                for a, b, runs in zip(cuts[:-1], cuts[1:], held, strict=True):
                     edge, parts = a, []
                     for x, y in runs:
                         parts.append(raw[edge : a + x])
@@ -149,3 +150,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP4_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 199 AS BIGINT))) AS s FROM b),
+grams AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS g FROM win),
+often AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
+dup AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM grams SEMI JOIN often USING (g)),
+runs AS (SELECT doc_id, s, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM dup),
+spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 200 AS z FROM runs GROUP BY doc_id, run),
+held AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+parts AS (SELECT doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS front, max(z) AS z, count(*) AS n, sum(z - a) AS removed FROM held JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(z, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM b LEFT JOIN parts ON parts.doc_id = b.doc_id
+"""

@@ -3,18 +3,20 @@
 A window (so many bytes or words) is found by its anchor: the run of ``gram`` units with the smallest
 hash inside it. Equal windows have equal anchors, so only documents that share an anchor need to
 meet. Successive windows with one anchor form a stretch (the windows' union); stretches, not
-windows, are what travels:
+windows, are what is compared:
 
  1. scan: hashes of anchors; a partial aggregation finds those that occur more than once;
- 2. scan: stretches of repeated anchors, as (anchor, digest of the stretch). Stretches of equal
-    digest have equal windows throughout, so copies are decided by an aggregation, whatever their
-    number;
- 3. scan: contents of one stretch of each digest, where an anchor has several digests. They meet by
-    a core that every window of (half of) the stretch contains, and a kernel compares them.
-
-Scans read the documents in place and shuffle no text; bit tables of fixed size (8 MB) drop
-what cannot matter, and exact joins follow. Cores with more than HOT contents are decided window by
-window in an aggregation instead of by the kernel.
+ 2. scan: stretches of repeated anchors as (anchor, digest of the stretch), aggregated to kinds: how
+    often, and the smallest document. Copies of a stretch are decided by this, whatever their number;
+ 3. scan: contents of one stretch of each kind, where an anchor has several kinds. They meet by
+    a core that every window of (half of) the stretch contains, and a kernel compares them;
+ 4. the last pass over the documents marks the stretches of which all windows are repeated, and adds
+    what steps 2 and 3 found for the others.
+
+Scans read the documents in place and shuffle no text. Bit tables of fixed size (8 MB) tell what
+cannot be: not in the table of the stretches that may stand for their kind means certainly a
+copy. Only the others are joined with the kinds, exactly. Cores with more than HOT contents are
+decided window by window in an aggregation instead of by the kernel.
 """
 
 from __future__ import annotations
@@ -73,7 +75,8 @@ class Plan:
 
 
 def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+    """The low bits: anchors are smallest hashes, so their upper bits are mostly zero."""
+    return (hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)
 
 
 def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -83,16 +86,16 @@ def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _bit_table(hashes: DataFrame) -> np.ndarray:
     """2**_BITS bits, set for a column of longs; what reaches the driver is bounded by the table."""
-    top = f"shiftrightunsigned({hashes.columns[0]}, {64 - _BITS})"
-    rows = hashes.selectExpr(f"cast(shiftrightunsigned({top}, 6) as int) as word", f"shiftleft(1L, cast({top} & 63 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    slot = f"({hashes.columns[0]} & {(1 << _BITS) - 1}L)"
+    rows = hashes.selectExpr(f"cast(shiftright({slot}, 6) as int) as word", f"shiftleft(1L, cast({slot} & 63 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (_BITS - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def _place(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of document and position."""
-    return _text.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
+def _named(digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A hash of a stretch's digest and its document."""
+    return _text.mix(digest + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _scan(docs: DataFrame, plan: Plan, schema: str, emit: Callable[..., pa.RecordBatch | None]) -> DataFrame:
@@ -114,69 +117,74 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def repeated_windows(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(id, spans): ascending runs [start, end) of units covered by repeated windows; staged.
+def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
+    """(id, spans) that need a join, staged, and a function that finds all others inside a document.
 
-    docs has id (long) and text. Rows without id are left out. An id names one text: rows that repeat
-    an id are expected to repeat its text.
+    spans are runs [a, b) of units covered by repeated windows; the function takes ids, rolling
+    hashes and row splits of a block and gives rows, a and b. docs has id (long) and text. Rows without
+    id are left out. An id names one text: rows that repeat an id are expected to repeat its text.
     """
-    spark = docs.sparkSession
-    size, gram = plan.size, plan.gram
+    context, size, gram = docs.sparkSession.sparkContext, plan.size, plan.gram
 
     def anchors(ids, rolling, values, rows):
         return _batch(key=pa.array(_text.signed(plan.stretches(rolling, rows)[4])))
 
     keys = _scan(docs, plan, "key long", anchors).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    repeated = spark.sparkContext.broadcast(_bit_table(keys))
+    repeated = context.broadcast(_bit_table(keys))
 
-    def digest_of(rolling, anchor, first, last):
-        return _text.mix(rolling(first, last + size) + (anchor - first).astype(np.uint64))
-
-    def stretches(ids, rolling, values, rows):
+    def found(ids, rolling, rows):
+        """Stretches whose anchor may be repeated: anchor, first, last, row, key, digest."""
         anchor, first, last, row, key = plan.stretches(rolling, rows)
         at = np.flatnonzero(_in_table(repeated.value, key))
         anchor, first, last, row, key = anchor[at], first[at], last[at], row[at], key[at]
-        digest = digest_of(rolling, anchor, first, last)
-        return _batch(key=pa.array(_text.signed(key)), digest=pa.array(_text.signed(digest)), id=pa.array(ids[row]), first=pa.array((first - rows[row]).astype(np.int32)), last=pa.array((last - rows[row]).astype(np.int32)))
+        return anchor, first, last, row, key, _text.mix(rolling(first, last + size) + (anchor - first).astype(np.uint64))
+
+    def stretches(ids, rolling, values, rows):
+        _, _, _, row, key, digest = found(ids, rolling, rows)
+        return _batch(key=pa.array(_text.signed(key)), digest=pa.array(_text.signed(digest)), id=pa.array(ids[row]))
 
-    found = staged(_scan(docs, plan, "key long, digest long, id long, first int, last int", stretches), "window-stretches")
-    kinds = found.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("one"))
-    kinds = staged(kinds.select(F.col("key").alias("c_key"), F.col("digest").alias("c_digest"), "n", F.col("one.id").alias("least"), F.col("one.first").alias("least_first")), "window-kinds")
+    kinds = _scan(docs, plan, "key long, digest long, id long", stretches).groupBy(F.col("key").alias("c_key"), F.col("digest").alias("c_digest"))
+    kinds = staged(kinds.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "window-kinds")
     several = staged(kinds.groupBy(F.col("c_key").alias("m_key")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m_key"), "window-anchors")
-    one = staged(kinds.join(several.hint("merge"), F.col("c_key") == F.col("m_key"), "left_semi").select("c_key", "c_digest", "least", "least_first"), "window-members")
+    one = staged(kinds.join(several.hint("merge"), F.col("c_key") == F.col("m_key"), "left_semi").select("c_key", "c_digest", "least"), "window-members")
 
-    # Contents of one stretch of each digest, in halves that share a core.
-    def placed(rows_):
-        for batch in rows_:
-            doc, first = (np.ascontiguousarray(np.asarray(batch.column(k), np.int64)) for k in (0, 1))
-            yield _batch(h=pa.array(_text.signed(_place(doc, first))))
+    def hashed(batches):
+        for batch in batches:
+            digest, doc = (np.ascontiguousarray(np.asarray(batch.column(k), np.int64)) for k in (0, 1))
+            yield _batch(h=pa.array(_text.signed(_named(digest.view(np.uint64), doc))))
 
-    wanted = spark.sparkContext.broadcast(_bit_table(one.select("least", F.col("least_first").cast("long")).mapInArrow(placed, "h long")))
+    wanted = context.broadcast(_bit_table(one.select("c_digest", "least").mapInArrow(hashed, "h long")))
+    # Stretches that may stand for their kind: not certainly copies.
+    first_ones = kinds if plan.earlier else kinds.where("n = 1")
+    standing = context.broadcast(_bit_table(first_ones.select("c_digest", "least").mapInArrow(hashed, "h long")))
     half = (size - gram) // 2
 
-    def contents(ids, rolling, values, rows):
-        anchor, first, last, row, key = plan.stretches(rolling, rows)
-        at = np.flatnonzero(_in_table(wanted.value, _place(np.ascontiguousarray(ids[row]), first - rows[row])))
-        if not len(at):
-            return None
-        anchor, first, last, row, key = anchor[at], first[at], last[at], row[at], key[at]
-        digest = digest_of(rolling, anchor, first, last)
-        parts = []
+    def open_ones(ids, rolling, values, rows):
+        """Stretches to be decided by a join (side 0), and contents for the kernel (side 1)."""
+        anchor, first, last, row, key, digest = found(ids, rolling, rows)
+        doc = np.ascontiguousarray(ids[row])
+        name = _named(digest, doc)
+        at = np.flatnonzero(_in_table(standing.value, name))
+        sides = [(np.zeros(len(at), np.int64), key[at], key[at], digest[at], doc[at], first[at] - rows[row[at]], last[at] - rows[row[at]], [None] * len(at))]
+        at = np.flatnonzero(_in_table(wanted.value, name))
+        at = at[np.sort(np.unique(name[at], return_index=True)[1])]  # a document's copies of a stretch count once
+        anchor, first, last, row, key, digest, doc = (x[at] for x in (anchor, first, last, row, key, digest, doc))
+        raw, width = values.tobytes(), values.itemsize
         for salt, a, b, lo, hi in ((1, first, np.minimum(last, anchor - half), anchor - half, anchor + gram), (2, np.maximum(first, anchor - half + 1), last, anchor, anchor - half + 1 + size)):
             ok = np.flatnonzero(a <= b)
             core = _text.mix(rolling(lo[ok], hi[ok]) + np.uint64(salt))
-            parts.append((ok, core, a[ok], b[ok]))
-        ok, core, a, b = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        raw, width = values.tobytes(), values.itemsize
-        held = [raw[x * width : (y + size) * width] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            held = [raw[x * width : (y + size) * width] for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
+            sides.append((np.ones(len(ok), np.int64), core, key[ok], digest[ok], doc[ok], a[ok] - first[ok], np.zeros(len(ok), np.int64), held))
+        side, core, key, digest, doc, start, end = (np.concatenate([s[i] for s in sides]) for i in range(7))
         return _batch(
-            core=pa.array(_text.signed(core)), key=pa.array(_text.signed(key[ok])), digest=pa.array(_text.signed(digest[ok])), id=pa.array(ids[row[ok]]),
-            place=pa.array((first[ok] - rows[row[ok]]).astype(np.int32)), skip=pa.array((a - first[ok]).astype(np.int32)), content=pa.array(held, pa.binary()),
+            side=pa.array(side.astype(np.int32)), core=pa.array(_text.signed(core)), key=pa.array(_text.signed(key)), digest=pa.array(_text.signed(digest)), id=pa.array(doc),
+            start=pa.array(start.astype(np.int32)), end=pa.array(end.astype(np.int32)), content=pa.array([c for s in sides for c in s[7]], pa.binary()),
         )
 
-    members = _scan(docs, plan, "core long, key long, digest long, id long, place int, skip int, content binary", contents)
-    same = (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest")) & (F.col("id") == F.col("least")) & (F.col("place") == F.col("least_first"))
-    members = staged(members.join(one.hint("merge"), same, "left_semi").drop("place"), "window-contents")
+    both = staged(_scan(docs, plan, "side int, core long, key long, digest long, id long, start int, end int, content binary", open_ones), "window-open")
+    same = (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest")) & (F.col("id") == F.col("least"))
+    members = both.where("side = 1").select("core", "key", "digest", "id", F.col("start").alias("skip"), "content")
+    members = staged(members.join(one.hint("merge"), same, "left_semi"), "window-contents")
     hot = staged(members.groupBy(F.col("core").alias("h_core")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("h_core"), "window-hot")
     if hot.isEmpty():
         fine = _by_kernel(members, plan)
@@ -185,13 +193,35 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> DataFrame:
         fine = _by_kernel(members.join(hot.hint("merge"), match, "left_anti"), plan).unionAll(_by_window(members.join(hot.hint("merge"), match, "left_semi"), plan))
     fine = staged(fine, "window-fine").select(F.col("key").alias("f_key"), F.col("digest").alias("f_digest"), "lo", "hi")
 
-    joined = found.join(kinds.hint("merge"), (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest")))
+    undecided = both.where("side = 0").select("key", "digest", "id", F.col("start").alias("first"), F.col("end").alias("last"))
+    joined = undecided.join(kinds.hint("merge"), (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest")))
     joined = joined.withColumn("whole", F.col("least") < F.col("id") if plan.earlier else F.col("n") > 1)
     joined = staged(joined.select("key", "digest", "id", "first", "last", "whole"), "window-decided")
     whole = joined.where("whole").select("id", F.col("first").alias("a"), (F.col("last") + size).alias("b"))
     part = joined.where("not whole").join(fine.hint("merge"), (F.col("key") == F.col("f_key")) & (F.col("digest") == F.col("f_digest")))
     part = part.select("id", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + size).alias("b"))
-    return staged(whole.unionAll(part).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "window-spans")
+    spans = staged(whole.unionAll(part).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "window-spans")
+
+    def copies(ids, rolling, rows):
+        """Stretches that certainly are copies: row, a and b."""
+        _, first, last, row, _, digest = found(ids, rolling, rows)
+        at = np.flatnonzero(~_in_table(standing.value, _named(digest, np.ascontiguousarray(ids[row]))))
+        return row[at], first[at] - rows[row[at]], last[at] - rows[row[at]] + size
+
+    return spans, copies
+
+
+def block_spans(plan: Plan, copies: Callable, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, joined: list) -> list[list[tuple[int, int]]]:
+    """Maximal runs of covered units of each text of a block; ``joined`` has the spans that came by a join."""
+    rolling, _, rows = plan.units(data, offsets)
+    out: list[list[tuple[int, int]]] = [[(s["a"], s["b"]) for s in found or []] for found in joined]
+    if rolling is not None:
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        row, a, b = copies(np.asarray(ids.fill_null(0), np.int64), rolling, rows)
+        for r, x, y in zip(row.tolist(), a.tolist(), b.tolist(), strict=True):
+            if known[r]:
+                out[r].append((x, y))
+    return [merged(found, n) for found, n in zip(out, np.diff(rows).tolist(), strict=True)]
 
 
 def _runs(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,11 +292,11 @@ def _by_window(members: DataFrame, plan: Plan) -> DataFrame:
     return hit.select("key", "digest", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
-def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
+def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """Maximal runs, clipped to n units."""
     out: list[tuple[int, int]] = []
-    for s in spans or []:
-        a, b = s["a"], min(s["b"], n)
+    for a, b in sorted(spans):
+        b = min(b, n)
         if a >= b:
             continue
         if out and a <= out[-1][1]:
