@@ -224,13 +224,12 @@ def test_loops(spark):
     assert col(down, "element", "emit_order") == [5, 4, 3, 2, 1, 0]
 
 
-def parity(i):
-    if i % 2 == 0:
-        raise ValueError("even")
-    return i + 1
-
-
 def test_retries(spark):
+    def parity(i):  # here, so that it is sent to the workers by value
+        if i % 2 == 0:
+            raise ValueError("even")
+        return i + 1
+
     df = spark.createDataFrame([(0, 1, 0), (1, 2, 2), (2, 42, 42)], "k int, i int, s int")
     got = loops.retry(df, "k", "i", "s", parity, lambda s: (s + 1, s + 1) if s < 42 else None, "int").orderBy("key").collect()
     assert [(r.ok, r.result) for r in got] == [(True, 2), (True, 4), (False, None)]
