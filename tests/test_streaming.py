@@ -27,7 +27,7 @@ def run(spark, source, machine, tmp_path, order="id"):
     name = f"t{abs(hash(str(tmp_path)))}"
     q = st.stateful(df, ["user"], order, machine).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    return {tuple(r) for r in spark.sql(f"select * from {name}").collect()}
+    return {tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in spark.sql(f"select * from {name}").collect()}
 
 
 def batch(spark, source):
