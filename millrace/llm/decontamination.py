@@ -90,11 +90,27 @@ def _bit_table(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _longest(same: np.ndarray) -> tuple[int, int, int] | None:
+    """Start, end and agreeing words of the stretch with most of them (the longer, then the first on ties) that counts as an overlap."""
+    starts = np.flatnonzero(same)
+    if len(starts) < MIN_WORDS:
+        return None
+    # A stretch has the share if its sum is not negative; from each start to the last end that keeps it so.
+    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - MIN_SHARE, -MIN_SHARE))])
+    ahead = np.maximum.accumulate(score[::-1])
+    last = len(same) - np.searchsorted(ahead, score[starts])
+    count = np.concatenate([[0], np.cumsum(same)])
+    matched = count[last] - count[starts]
+    ends = starts[count[last] - 1] + 1
+    k = np.lexsort((-starts, ends - starts, matched))[-1]
+    return (int(starts[k]), int(ends[k]), int(matched[k])) if matched[k] >= MIN_WORDS else None
+
+
 def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Verified overlaps, a row for each document and item: id_col, item_id, doc_start, n_words, n_matched.
 
-    doc_start and n_words give the longest agreeing stretch (within REACH words of a hit), in words
-    of the document. Null and empty texts, items of fewer than SPAN words and items without id have
+    doc_start and n_words give the stretch with most agreeing words (within REACH words of a hit), in
+    words of the document; it begins and ends in agreeing words. Null and empty texts, items of fewer than SPAN words and items without id have
     no overlaps; a document without id is reported with a null id. Rows that repeat an id count as
     one document. Of items of equal text the smallest id stands for all. Empty tables give no rows.
     """
@@ -143,28 +159,26 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     near = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, base int, words array<long>, hashes array<long>, places array<int>")
     near = staged(near.withColumn("spot", F.monotonically_increasing_id()), "bench-near")
     places = near.select("spot", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("spot", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    hits = places.join(seeds, "hash").groupBy("spot", "item", (F.col("place") - F.col("item_at")).alias("shift")).agg(F.min("place").alias("place"))
+    # All hits of a diagonal are one row: every stretch of it in the spot is looked at.
+    hits = places.join(seeds, "hash").select("spot", "item", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
     pairs = hits.join(near.select("spot", "id", "base", "words"), "spot").join(items, "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for id_, item, shift, place, base, words, item_words in zip(*(batch.column(i) for i in range(7)), strict=True):
-                s, p, b = shift.as_py(), place.as_py(), base.as_py()
+            for id_, item, shift, base, words, item_words in zip(*(batch.column(i) for i in range(6)), strict=True):
+                s, b = shift.as_py(), base.as_py()
                 x, y = np.asarray(words.values), np.asarray(item_words.values)
                 begin, end = max(b, s), min(b + len(x), s + len(y))
                 same = x[begin - b : end - b] == y[begin - s : end - s]
-                score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-                p -= begin
-                left = int(np.argmin(score[: p + 1]))
-                right = p + int(np.argmax(score[p:]))
-                matched = int(same[left:right].sum())
-                if matched >= MIN_WORDS and matched >= MIN_SHARE * (right - left):
+                overlap = _longest(same)
+                if overlap:
+                    left, right, matched = overlap
                     out.append((id_.as_py(), item.as_py(), begin + left, right - left, matched))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "item", "doc_start", "n_words", "n_matched"])
 
-    found = pairs.select("id", "item", "shift", "place", "base", "words", "item_words").mapInArrow(verify, f"id {kind}, item long, doc_start long, n_words long, n_matched long")
+    found = pairs.select("id", "item", "shift", "base", "words", "item_words").mapInArrow(verify, f"id {kind}, item long, doc_start long, n_words long, n_matched long")
     best = found.groupBy("id", "item").agg(F.max(F.struct("n_matched", "n_words", (-F.col("doc_start")).alias("before"))).alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), (-F.col("best.before")).alias("doc_start"), F.col("best.n_words").alias("n_words"), F.col("best.n_matched").alias("n_matched"))
 

@@ -322,6 +322,38 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_overlaps(df, bench.where("false")).count() == 0
 
 
+def brute_overlap(words, item):
+    """Most agreeing words, their stretch's length and its start, over all stretches of all diagonals."""
+    best = (0, 0, 0)
+    for s in range(1 - len(item), len(words)):
+        lo, hi = max(0, s), min(len(words), s + len(item))
+        same = [words[i] == item[i - s] for i in range(lo, hi)]
+        for l in (i for i, x in enumerate(same) if x):
+            n = 0
+            for r in range(l, len(same)):
+                n += same[r]
+                if same[r] and n >= decontamination.MIN_WORDS and n >= decontamination.MIN_SHARE * (r + 1 - l):
+                    best = max(best, (n, r + 1 - l, -(lo + l)))
+    return best
+
+
+def overlap_rows(spark, texts, items):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    return {(x.doc_id, x.item_id): (x.n_matched, x.n_words, -x.doc_start) for x in decontamination.find_overlaps(docs, bench).collect()}
+
+
+def test_overlaps_behind_a_first_hit(spark):
+    """Of one diagonal: 7 agreeing words, a gap of other words, then a longer agreement."""
+    item = [f"w{i}" for i in range(110)]
+    texts = []
+    for gap, n in ((12, 21), (26, 60), (3, 14), (1, 40)):
+        texts.append([f"p{i}" for i in range(15)] + item[:7] + ["other"] * gap + item[7 + gap : 7 + gap + n] + [f"q{i}" for i in range(15)])
+    got = overlap_rows(spark, texts, [item])
+    assert got == {(i, 0): brute_overlap(t, item) for i, t in enumerate(texts)}
+    assert [got[i, 0][0] for i in range(4)] == [21, 60, 21, 47]
+
+
 def test_language(spark, empty):
     r = random.Random(6)
     letters = {"aa": "abcde", "bb": "opqrst", "cc": "éüöklm"}
