@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A fixed mask selects some of ten successive words and ignores the others, so a hash of the selected
-words survives substitutions at the ignored places. Test items and training documents are hashed
+A fixed mask selects some of at most 13 successive words and ignores the others, so a hash of the
+selected words survives substitutions at the ignored places. Every overlap that counts agrees under
+one of the masks somewhere, so none is missed for want of a hit. Test items and training documents are hashed
 under every mask at every position; equal hashes give hits, and around a hit the two word sequences
 are laid side by side to count words that agree.
 
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from millrace.llm import _text
 from millrace.llm._scratch import staged
 
-#: 1 selects a word, 0 ignores it.
-MASKS = ("1101101011", "1011110101", "1110010111", "1111111000")
-SPAN = 10
+#: 1 selects a word, 0 ignores it. A greedy cover of the 931 shortest patterns of agreeing and other words
+#: that MIN_WORDS and MIN_SHARE admit (those that hold no shorter one; at most 26 words): each holds a mask.
+MASKS = ("1111011", "1110100011", "10010010111", "1110000100011", "1100010001011", "101100010101", "1111101")
 #: Words kept on either side of a hit to verify it.
 REACH = 40
 #: An overlap counts from so many agreeing words, if they are such a share of it.
@@ -42,16 +43,20 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _text.word_hashes(_text.lower(data), starts, ends, _VALUES), rows
 
 
-def _seeds(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (mask by position) and which positions have SPAN words of one text."""
-    n = len(words) - SPAN + 1
-    if n <= 0:
-        return np.zeros((len(MASKS), 0), np.uint64), np.zeros(0, bool)
-    steps = _text.powers(_text._BASE, SPAN)
-    terms = [words[i : i + n] * steps[i] for i in range(SPAN)]
-    out = np.stack([_text.mix(sum(terms[i] for i in range(SPAN) if mask[i] == "1") + np.uint64(k)) for k, mask in enumerate(MASKS)])
-    row_end = np.repeat(rows[1:], np.diff(rows))[:n]
-    return out, np.arange(n) + SPAN <= row_end
+def _seeds(words: np.ndarray, rows: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask, the positions where it lies in one text, and their hashes."""
+    row_end = np.repeat(rows[1:], np.diff(rows))
+    steps = _text.powers(_text._BASE, max(map(len, masks)))
+    terms = [words[i:] * step for i, step in enumerate(steps)]
+    for mask in masks:
+        n = max(len(words) - len(mask) + 1, 0)
+        at = np.flatnonzero(np.arange(n) + len(mask) <= row_end[:n])
+        yield at, _text.mix(sum(terms[i][:n] for i, x in enumerate(mask) if x == "1") + np.uint64(int(mask, 2)))[at]
+
+
+def _masks_of(n_words: int) -> tuple[str, ...]:
+    """Of an item: one that is too short for MIN_WORDS agreeing words counts where all of it stands, word for word."""
+    return MASKS if n_words >= MIN_WORDS else ("1" * n_words,) if n_words else ()
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -74,9 +79,11 @@ def benchmark_tables(bench: DataFrame, id_col: str, text_col: str) -> tuple[Data
         for batch in batches:
             for item, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = np.asarray(words.values, np.int64).view(np.uint64) if len(words) else np.zeros(0, np.uint64)
-                found, _ = _seeds(words, np.array([0, len(words)]))
-                n = found.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(found.ravel())), pa.array(np.full(found.size, item)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(MASKS)))], names=["hash", "item", "item_at"])
+                masks = _masks_of(len(words))
+                if not masks:
+                    continue
+                at, found = map(np.concatenate, zip(*_seeds(words, np.array([0, len(words)]), masks), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(found)), pa.array(np.full(len(at), item)), pa.array(at.astype(np.int32))], names=["hash", "item", "item_at"])
 
     return staged(items.mapInArrow(seeds, "hash long, item long, item_at int"), "bench-seeds"), items
 
@@ -110,13 +117,15 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """Verified overlaps, a row for each document and item: id_col, item_id, doc_start, n_words, n_matched.
 
     doc_start and n_words give the stretch with most agreeing words (within REACH words of a hit), in
-    words of the document; it begins and ends in agreeing words. Null and empty texts, items of fewer than SPAN words and items without id have
-    no overlaps; a document without id is reported with a null id. Rows that repeat an id count as
+    words of the document; it begins and ends in agreeing words. Null and empty texts and items without id have no overlaps; an item of fewer than MIN_WORDS words
+    overlaps where all its words stand one after the other; a document without id is reported with a null id. Rows that repeat an id count as
     one document. Of items of equal text the smallest id stands for all. Empty tables give no rows.
     """
     spark = docs.sparkSession
     seeds, items = benchmark_tables(bench, item_col, item_text_col)
     table = spark.sparkContext.broadcast(_bit_table(seeds))
+    short = items.where(F.size("item_words").between(1, MIN_WORDS - 1)).select(F.size("item_words").alias("n")).distinct().orderBy("n")
+    masks = MASKS + tuple("1" * x.n for x in short.collect())
     kind = dict(docs.dtypes)[id_col]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,23 +133,23 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         for batch in batches:
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
                 words, rows = _words(data, offsets)
-                found, inside = _seeds(words, rows)
-                mask_of, at = [], []
-                for k in range(len(MASKS) if found.shape[1] else 0):
-                    slot = _slots(found[k])
-                    hit = np.flatnonzero(((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) & inside)
-                    mask_of.append(np.full(len(hit), k))
-                    at.append(hit)
-                at, mask_of = (np.concatenate(at), np.concatenate(mask_of)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                at, found, ends = [], [], []
+                for mask, (places, hashes) in zip(masks, _seeds(words, rows, masks), strict=True):
+                    slot = _slots(hashes)
+                    hit = ((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                    at.append(places[hit])
+                    found.append(hashes[hit])
+                    ends.append(places[hit] + len(mask))
+                at, found, ends = np.concatenate(at), np.concatenate(found), np.concatenate(ends)
                 if not len(at):
                     continue
                 order = np.argsort(at, kind="stable")
-                at, mask_of = at[order], mask_of[order]
+                at, found, ends = at[order], found[order], ends[order]
                 row = np.searchsorted(rows, at, "right") - 1
                 new = np.concatenate([[True], (np.diff(at) > REACH) | (np.diff(row) > 0)])
                 first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(at)]]) - 1
                 begin = np.maximum(at[first] - REACH, rows[row[first]])
-                end = np.minimum(at[last] + SPAN + REACH, rows[row[first] + 1])
+                end = np.minimum(np.maximum.reduceat(ends, first) + REACH, rows[row[first] + 1])
                 size = end - begin
                 cuts = np.concatenate([[0], np.cumsum(size)])
                 flat = words[np.repeat(begin - cuts[:-1], size) + np.arange(cuts[-1])]
@@ -150,7 +159,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                         ids.take(pa.array(row[first])),
                         pa.array((begin - rows[row[first]]).astype(np.int32)),
                         _text.list_array(_text.signed(flat), cuts, pa.int64()),
-                        _text.list_array(_text.signed(found[mask_of, at]), bounds, pa.int64()),
+                        _text.list_array(_text.signed(found), bounds, pa.int64()),
                         _text.list_array((at - rows[row]).astype(np.int32), bounds, pa.int32()),
                     ],
                     names=["id", "base", "words", "hashes", "places"],
@@ -171,7 +180,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                 x, y = np.asarray(words.values), np.asarray(item_words.values)
                 begin, end = max(b, s), min(b + len(x), s + len(y))
                 same = x[begin - b : end - b] == y[begin - s : end - s]
-                overlap = _longest(same)
+                overlap = _longest(same) if len(y) >= MIN_WORDS else (0, len(y), len(y)) if len(same) == len(y) and same.all() else None
                 if overlap:
                     left, right, matched = overlap
                     out.append((id_.as_py(), item.as_py(), begin + left, right - left, matched))

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -354,6 +355,39 @@ def test_overlaps_behind_a_first_hit(spark):
     assert [got[i, 0][0] for i in range(4)] == [21, 60, 21, 47]
 
 
+def test_every_overlap_at_the_threshold_is_found(spark):
+    """Every fourth word substituted; 3 of 13 and 4 of 16 words substituted anywhere inside; short items word for word."""
+    r = random.Random(8)
+    item = [f"w{i}" for i in range(80)]
+    gaps = [range(3, 80, 4)]
+    gaps += [sorted(r.sample(range(1, 12), 3)) for _ in range(60)] + [sorted(r.sample(range(1, 15), 4)) for _ in range(60)]
+    texts, want = [], {}
+    for i, gap in enumerate(gaps):
+        n = 80 if i == 0 else 13 if i <= 60 else 16
+        at = r.choice([0, 80 - n])
+        texts.append([f"p{k}" for k in range(i % 3)] + ["other" if k in gap else item[at + k] for k in range(n)] + [f"q{k}" for k in range(i % 2)])
+        want[i, 0] = brute_overlap(texts[-1], item)
+    texts += [["x", "five", "words", "of", "an", "item", "y"], ["five", "words", "of", "the", "item"], ["alone"]]
+    got = overlap_rows(spark, texts, [item, ["five", "words", "of", "an", "item"], ["alone"]])
+    assert got == want | {(121, 1): (5, 5, -1), (123, 2): (1, 1, 0)}
+
+
+def test_masks_cover_the_threshold():
+    """Each shortest pattern that MIN_WORDS and MIN_SHARE admit holds a mask."""
+    masks = [int(m[::-1], 2) for m in decontamination.MASKS]
+    least, share = decontamination.MIN_WORDS, decontamination.MIN_SHARE
+    n = 0
+    # A pattern of 2 * least agreeing words has a half that is admitted, too.
+    for size in range(least, int(2 * least / share) + 1):
+        for k in range(int(size * (1 - share)) + 1):
+            if least <= size - k < 2 * least and (size - k == least or int((size - 1) * (1 - share)) < k):
+                for gap in itertools.combinations(range(1, size - 1), k):
+                    bits = (1 << size) - 1 - sum(1 << i for i in gap)
+                    assert any(bits >> i & m == m for m in masks for i in range(size))
+                    n += 1
+    assert n > 0
+
+
 def test_language(spark, empty):
     r = random.Random(6)
     letters = {"aa": "abcde", "bb": "opqrst", "cc": "éüöklm"}
