@@ -1,8 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are long words that hold a run of key-like characters with a digit. Each gets features:
+Candidates are the runs of key-like characters in long words with a digit, all of them. Each gets features:
 length, changes of character class, shares of digits and capitals, distinct characters, how much of
-it is covered by dictionary words (words of this corpus), its path, and the words next to it. A random
+it is covered by dictionary words (words of this corpus), its path, and the words or the text in its word before it. A random
 forest trained from labelled findings gives the probability that a candidate is a secret.
 
 Everything on this path is DataFrame, SQL or ML-pipeline code on the JVM. The dictionary is a partial
@@ -27,6 +27,8 @@ DICTIONARY_COUNT = 5
 MAX_LABELLED = 10000
 TREES, DEPTH, SEED = 30, 6, 7
 _KEYWORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api|key|auth|credential|bearer)"
+#: A run of key-like characters, with padding; where none is long enough, "=" joins them.
+_RUN = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}=*|(?<![A-Za-z0-9+/_=-])(?![A-Za-z0-9+/_=-]*[A-Za-z0-9+/_-]{{{MIN_LENGTH}}})[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
 _INNOCENT = r"(?i)(sha\d*|md5|checksum|digest|commit|uuid|guid|hash|etag|rev|build|version|order|invoice|card|id)\b"
 FEATURES = ["length", "changes", "digits", "capitals", "hex", "distinct", "covered", "keyword_inside", "keyword_near", "innocent_near", "test_path", "path_rate"]
 
@@ -36,7 +38,11 @@ def _words(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """id, path, place (index of the word), word, before2, before, after: a row for each candidate."""
+    """id, path, place (index of the word), value, lead, before2, before: a row for each run of each word.
+
+    lead is the word's text from the run before; the words before go to a word's first run only, so
+    that the rows of a long word hold its text once.
+    """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
     # Few texts hold a candidate; the cheap test comes before any array is built.
@@ -46,7 +52,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     like = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike(rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}") & w.rlike("[0-9]")
     rows = rows.select("id", "path", "words", F.explode(F.filter("placed", lambda x: like(x["word"]))).alias("x"))
     near = lambda k: F.coalesce(F.get("words", F.col("x.place") + k), F.lit(""))
-    return rows.select("id", "path", F.col("x.place").alias("place"), F.col("x.word").alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
+    word = F.col("x.word")
+    runs = F.transform(F.regexp_extract_all(word, F.lit(_RUN), F.lit(0)), lambda v, i: F.struct(i.alias("run"), v.alias("value")))
+    rows = rows.select("id", "path", F.col("x.place").alias("place"), F.split(word, _RUN).alias("leads"), near(-2).alias("before2"), near(-1).alias("before"), F.explode(runs).alias("r"))
+    first = F.col("r.run") == 0
+    lead = F.get("leads", F.col("r.run"))
+    return rows.select("id", "path", "place", F.col("r.value").alias("value"), lead.alias("lead"), F.when(first, F.col("before2")).otherwise("").alias("before2"), F.when(first, F.col("before")).otherwise(lead).alias("before"))
 
 
 def dictionary(docs: DataFrame, text_col: str, least: int = DICTIONARY_COUNT) -> DataFrame:
@@ -57,20 +68,24 @@ def dictionary(docs: DataFrame, text_col: str, least: int = DICTIONARY_COUNT) ->
 
 
 def features(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """found with FEATURES; needs key (unique), word, before2, before, after, path, path_rate_in."""
-    value = F.regexp_extract("word", rf"([A-Za-z0-9+/_-]{{{MIN_LENGTH},}}=*)[^A-Za-z0-9]*$", 1)
-    value = F.when(value != "", value).otherwise(F.regexp_extract("word", rf"([A-Za-z0-9+/_=-]{{{MIN_LENGTH},}})", 1))
-    rows = found.withColumn("value", value)
+    """found with FEATURES; needs key (unique), value and lead, before2, before, path, path_rate_in.
+
+    A labelled finding has a word in place of value and lead: the run at its end, or else the first.
+    """
+    rows = found
+    if "value" not in found.columns:
+        value = F.regexp_extract("word", rf"([A-Za-z0-9+/_-]{{{MIN_LENGTH},}}=*)[^A-Za-z0-9]*$", 1)
+        value = F.when(value != "", value).otherwise(F.regexp_extract("word", rf"([A-Za-z0-9+/_=-]{{{MIN_LENGTH},}})", 1))
+        rows = found.withColumn("value", value).withColumn("lead", F.expr("substring(word, 1, greatest(length(word) - length(value), 0))"))
     pieces = rows.select("key", F.explode(F.array_distinct(F.split(F.lower("value"), "[^a-z]+"))).alias("piece")).where(F.length("piece") >= 3)
     known = pieces.join(entries.hint("merge"), F.col("piece") == F.col("entry"), "left_semi").groupBy(F.col("key").alias("k_key")).agg(F.sum(F.length("piece")).alias("letters"))
     rows = rows.join(known.hint("merge"), F.col("key") == F.col("k_key"), "left")
     n = F.greatest(F.length("value"), F.lit(1)).cast("double")
     count = lambda pattern: F.regexp_count("value", F.lit(pattern)) / n
     near = F.concat_ws(" ", "before2", "before")
-    inside = F.expr("substring(word, 1, greatest(length(word) - length(value), 0))")
     as_number = lambda c: c.cast("double")
     return rows.select(
-        *[c for c in found.columns if c != "path_rate_in"],
+        *[c for c in found.columns if c not in ("path_rate_in", "value")],
         "value",
         F.length("value").cast("double").alias("length"),
         count("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])|[A-Z](?=[a-z])|[^A-Za-z0-9](?=[A-Za-z0-9])").alias("changes"),
@@ -79,7 +94,7 @@ def features(found: DataFrame, entries: DataFrame) -> DataFrame:
         as_number(F.col("value").rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
         (F.size(F.array_distinct(F.split("value", ""))) / n).alias("distinct"),
         (F.coalesce("letters", F.lit(0)) / n).alias("covered"),
-        as_number(inside.rlike(_KEYWORD)).alias("keyword_inside"),
+        as_number(F.col("lead").rlike(_KEYWORD)).alias("keyword_inside"),
         as_number(near.rlike(_KEYWORD)).alias("keyword_near"),
         as_number(near.rlike(_INNOCENT)).alias("innocent_near"),
         as_number(F.col("path").rlike(r"(?i)(test|example|sample|fixture|mock|doc)")).alias("test_path"),
@@ -128,9 +143,9 @@ def train(labelled: DataFrame, entries: DataFrame) -> RandomForestClassification
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = 0.5) -> DataFrame:
     """id_col, place, candidate, path, probability, is_secret: a row for each candidate of each text.
 
-    place is the index of the word in its text. Null and empty texts, and texts without a candidate,
-    give no rows; null paths count as empty, null ids stay null, repeated rows are scanned each. A
-    word holds one candidate. Empty tables give an empty result.
+    place is the index of the word in its text; a word has a row for each of its runs. Null and empty texts, and texts without a candidate,
+    give no rows; null paths count as empty, null ids stay null, repeated rows are scanned each.
+    Empty tables give an empty result.
     """
     spark = docs.sparkSession
     entries = staged(dictionary(docs, text_col), "secret-dictionary")
