@@ -27,9 +27,8 @@ from millrace.llm._scratch import staged
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
-#: A declared language becomes a model from so many rows; at most so many models, the most frequent.
-MIN_ROWS = 5
-MAX_LANGUAGES = 100
+#: Languages whose counts a task holds at a time (128 KB each); beyond, it hands them on.
+HELD_LANGUAGES = 256
 FULL_WEIGHT = 200.0
 #: Pseudo-rows that a parent lends to its child in the hierarchy of priors, and to each table cell.
 PRIOR_ROWS = 20.0
@@ -63,27 +62,46 @@ def _labelled(docs: DataFrame, text: str, declared: str | None) -> DataFrame:
 
 
 def train(docs: DataFrame, text_col: str, declared_col: str | None) -> tuple[list[str], np.ndarray]:
-    """Languages (``und`` last) and log probabilities (language by bucket), counted over all rows."""
+    """Languages (``und`` last) and log probabilities (language by bucket), counted over all rows.
+
+    Every declared language with a trigram of text has a model.
+    """
     rows = _labelled(docs, text_col, declared_col)
-    seen = rows.where("declared is not null").groupBy("declared").count().where(F.col("count") >= MIN_ROWS)
-    langs = sorted(r[0] for r in seen.orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect() if r[0] != UNKNOWN)
+    langs = sorted(r[0] for r in rows.where("declared is not null").select("declared").distinct().collect() if r[0] != UNKNOWN)
     index = {l: i for i, l in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(index), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
+
+        def held() -> pa.RecordBatch:
+            at = np.array(sorted(sums), np.int64)
+            all_of = np.stack([sums[i] for i in at]) if sums else np.zeros((0, BUCKETS), np.int64)
+            sums.clear()
+            i, b = np.nonzero(all_of)
+            return pa.RecordBatch.from_arrays([pa.array(at[i], pa.int32()), pa.array(b, pa.int32()), pa.array(all_of[i, b], pa.int64())], names=["i", "b", "n"])
+
         for batch in batches:
             for declared, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
                 bucket, rows = _trigrams(data, offsets)
                 lang = np.array([index.get(d, -1) for d in declared.to_pylist()])
                 of = np.repeat(lang, np.diff(rows))
-                sums += np.bincount((of * BUCKETS + bucket)[of >= 0], minlength=sums.size).reshape(sums.shape)
-        i, b = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(b, pa.int32()), pa.array(sums[i, b], pa.int64())], names=["i", "b", "n"])
+                order = np.argsort(of, kind="stable")
+                of, bucket = of[order], bucket[order]
+                for i in np.unique(lang[lang >= 0]):
+                    here = bucket[np.searchsorted(of, i) : np.searchsorted(of, i, "right")]
+                    if len(here):
+                        if len(sums) == HELD_LANGUAGES and i not in sums:
+                            yield held()
+                        sums[i] = sums.get(i, 0) + np.bincount(here, minlength=BUCKETS)
+        yield held()
 
     counts = np.zeros((len(langs), BUCKETS))
     if langs:
         got = rows.mapInArrow(count, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).toPandas()
         counts[got["i"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
+        # Without a trigram a model would be as flat as und.
+        full = counts.any(axis=1)
+        langs, counts = [l for l, x in zip(langs, full, strict=True) if x], counts[full]
     smooth = counts + 0.5
     logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     return [*langs, UNKNOWN], np.concatenate([logs, np.full((1, BUCKETS), -np.log(BUCKETS))])
