@@ -1,13 +1,16 @@
-"""Vectorised text primitives for Arrow batches: word bounds, rolling hashes, window minima.
+"""Text primitives for Arrow batches: words, digests, rolling hashes, window minima.
 
-All functions work on one byte buffer that holds many whole texts. Hashes are polynomials modulo
-2**64 over random byte values with an odd base, so that the hash of any substring comes from two
-prefix sums and one multiplication; a finaliser mixes the bits.
+All functions work on one byte buffer that holds many whole texts. Equality is decided by content or
+by a digest of it (BLAKE2b; 64 bits for a word, at least 128 with its key for anything longer). Rolling hashes
+are polynomials modulo 2**64 with an odd base and are weak on purpose-made strings: they choose and
+route (anchors, buckets), and never decide that two texts are equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +91,8 @@ def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Ite
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def lower(data: np.ndarray) -> np.ndarray:
-    """A-Z in lower case, all other bytes as they are."""
-    return _LOWER[data]
+#: bytes.translate tables: A-Z in lower case, all other bytes as they are.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,9 +116,35 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 _VALUES = _BYTE_VALUES.copy()
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
-    """One uint64 for each word."""
-    return Rolling(values[data])(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+class _WordHashes(dict):
+    """64-bit digests of words; short ones are kept, up to a bounded number."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= 1 << 20:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
+def split_words(raw: bytes, cuts: list[int]) -> tuple[list[bytes], np.ndarray]:
+    """The words [^\\x20\\x09-\\x0D]+ of each text raw[cuts[i]:cuts[i + 1]], flat, and row splits."""
+    held = [raw[a:b].split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return list(chain.from_iterable(held)), np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))])
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """One uint64 for each word, by a digest of its bytes."""
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def digests(pieces: list[bytes]) -> np.ndarray:
+    """One uint64 for each piece of text, by a digest of its bytes."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in pieces]), np.uint64)
 
 
 def byte_rolling(data: np.ndarray) -> Rolling:
@@ -131,15 +155,14 @@ def byte_rolling(data: np.ndarray) -> Rolling:
 def window_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest hash (the first on ties) in each window of ``width`` hashes.
 
-    Compares the upper bits of the hashes; the choice depends on the window's content alone. Two
+    Compares the upper 32 bits of the hashes; the choice depends on the window's content alone. Two
     passes of block-wise running minima, so the cost does not depend on the width.
     """
     n = len(hashes)
     m = n - width + 1
     if m <= 0:
         return np.zeros(0, np.int64)
-    bits = np.uint64(max(1, int(n - 1).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64(0xFFFFFFFF)
     blocks = -(-n // width)
     key = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
     key[:n] = (hashes & ~low) | np.arange(n, dtype=np.uint64)

@@ -6,14 +6,15 @@ one of the masks somewhere, so none is missed for want of a hit. Test items and
 under every mask at every position; equal hashes give hits, and around a hit the two word sequences
 are laid side by side to count words that agree.
 
-Documents are scanned once. A bit table of fixed size (8 MB, whatever the benchmark's size), made of
-the items' hashes, drops positions that cannot have a partner; those that stay are joined exactly.
-With them goes the neighbourhood of the position (word hashes), so that no text is shuffled.
+Documents are scanned once. A bit table of bounded size, made of the items' hashes, drops positions that
+cannot have a partner; those that stay are joined exactly. With them goes the neighbourhood of the position
+(word hashes, as far as the longest item may reach), so that no text is shuffled and no overlap is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._scratch import staged
+from millrace.llm._bits import BitTable
+from millrace.llm._scratch import staged, without
 
 #: 1 selects a word, 0 ignores it. A greedy cover of the 931 shortest patterns of agreeing and other words
 #: that MIN_WORDS and MIN_SHARE admit (those that hold no shorter one; at most 26 words): each holds a mask.
 MASKS = ("1111011", "1110100011", "10010010111", "1110000100011", "1100010001011", "101100010101", "1111101")
-#: Words kept on either side of a hit to verify it.
-REACH = 40
 #: An overlap counts from so many agreeing words, if they are such a share of it.
 MIN_WORDS = 10
 MIN_SHARE = 0.75
-_BITS = 26
-
-_VALUES = _text._BYTE_VALUES.copy()
-_VALUES[[b for b in range(128) if not chr(b).isalnum()]] = 0
+#: Bytes that are no part of a word: ASCII but letters, digits and white space.
+_PUNCTUATION = bytes(b for b in range(128) if not chr(b).isalnum() and b not in b" \t\n\v\f\r")
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in lower case without ASCII punctuation, and row splits."""
-    starts, ends, rows = _text.word_bounds(data, offsets)
-    return _text.word_hashes(_text.lower(data), starts, ends, _VALUES), rows
+    """Hashes of the words in lower case without ASCII punctuation (a word of nothing else is none), and row splits."""
+    raw, cuts = data.tobytes(), offsets.tolist()
+    held = [raw[a:b].translate(_text.LOWER, _PUNCTUATION).split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    rows = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))])
+    return _text.word_hashes(list(chain.from_iterable(held))), rows
 
 
 def _seeds(words: np.ndarray, rows: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -59,10 +59,6 @@ def _masks_of(n_words: int) -> tuple[str, ...]:
     return MASKS if n_words >= MIN_WORDS else ("1" * n_words,) if n_words else ()
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-
-
 def benchmark_tables(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(hash, item, item_at) of all seeds, and (item, item_words). Items of equal text go as the smallest id."""
     classes = bench.groupBy(F.col(text_col).cast("string").alias("text")).agg(F.min(id_col).cast("long").alias("item"))
@@ -88,15 +84,6 @@ def benchmark_tables(bench: DataFrame, id_col: str, text_col: str) -> tuple[Data
     return staged(items.mapInArrow(seeds, "hash long, item long, item_at int"), "bench-seeds"), items
 
 
-def _bit_table(seeds: DataFrame) -> np.ndarray:
-    """2**_BITS bits; bounded by its own size, however many seeds there are."""
-    slot = F.shiftrightunsigned("hash", 64 - _BITS)
-    rows = seeds.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - _BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (_BITS - 6), np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
 def _longest(same: np.ndarray) -> tuple[int, int, int] | None:
     """Start, end and agreeing words of the stretch with most of them (the longer, then the first on ties) that counts as an overlap."""
     starts = np.flatnonzero(same)
@@ -116,27 +103,26 @@ def _longest(same: np.ndarray) -> tuple[int, int, int] | None:
 def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Verified overlaps, a row for each document and item: id_col, item_id, doc_start, n_words, n_matched.
 
-    doc_start and n_words give the stretch with most agreeing words (within REACH words of a hit), in
-    words of the document; it begins and ends in agreeing words. Null and empty texts and items without id have no overlaps; an item of fewer than MIN_WORDS words
+    doc_start and n_words give the stretch with most agreeing words, counted in words that hold more than ASCII
+    punctuation; it begins and ends in agreeing words. Null and empty texts and items without id have no overlaps; an item of fewer than MIN_WORDS words
     overlaps where all its words stand one after the other; a document without id is reported with a null id. Rows that repeat an id count as
     one document. Of items of equal text the smallest id stands for all. Empty tables give no rows.
     """
     spark = docs.sparkSession
     seeds, items = benchmark_tables(bench, item_col, item_text_col)
-    table = spark.sparkContext.broadcast(_bit_table(seeds))
+    table = spark.sparkContext.broadcast(BitTable(seeds.select("hash"), seeds.count(), probes=3))
+    reach = items.agg(F.max(F.size("item_words"))).first()[0] or 0
     short = items.where(F.size("item_words").between(1, MIN_WORDS - 1)).select(F.size("item_words").alias("n")).distinct().orderBy("n")
     masks = MASKS + tuple("1" * x.n for x in short.collect())
     kind = dict(docs.dtypes)[id_col]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for batch in batches:
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
                 words, rows = _words(data, offsets)
                 at, found, ends = [], [], []
                 for mask, (places, hashes) in zip(masks, _seeds(words, rows, masks), strict=True):
-                    slot = _slots(hashes)
-                    hit = ((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                    hit = table.value.may_hold(hashes)
                     at.append(places[hit])
                     found.append(hashes[hit])
                     ends.append(places[hit] + len(mask))
@@ -146,10 +132,10 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                 order = np.argsort(at, kind="stable")
                 at, found, ends = at[order], found[order], ends[order]
                 row = np.searchsorted(rows, at, "right") - 1
-                new = np.concatenate([[True], (np.diff(at) > REACH) | (np.diff(row) > 0)])
+                new = np.concatenate([[True], (np.diff(at) > reach) | (np.diff(row) > 0)])
                 first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(at)]]) - 1
-                begin = np.maximum(at[first] - REACH, rows[row[first]])
-                end = np.minimum(np.maximum.reduceat(ends, first) + REACH, rows[row[first] + 1])
+                begin = np.maximum(at[first] - reach, rows[row[first]])
+                end = np.minimum(np.maximum.reduceat(ends, first) + reach, rows[row[first] + 1])
                 size = end - begin
                 cuts = np.concatenate([[0], np.cumsum(size)])
                 flat = words[np.repeat(begin - cuts[:-1], size) + np.arange(cuts[-1])]
@@ -194,8 +180,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a verified overlap, in the columns of docs. Rows without id stay."""
-    bad = staged(find_overlaps(docs, bench, id_col, text_col).select(F.col(id_col).alias("bad_id")).distinct(), "bench-docs")
-    return docs.join(bad.hint("merge"), F.col(id_col) == F.col("bad_id"), "left_anti")
+    return without(docs, find_overlaps(docs, bench, id_col, text_col).select(id_col), id_col)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._scratch import staged
+from millrace.llm._scratch import staged, without
 
 FIRST_DIGIT = 64
 GROWTH = 16
@@ -84,8 +84,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class of equal texts, in the columns of docs. Rows without id stay."""
-    bad = exact_dedup(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(staged(bad, "radix-dropped").hint("merge"), F.col(id_col) == F.col("bad_id"), "left_anti")
+    return without(docs, exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(id_col), id_col)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

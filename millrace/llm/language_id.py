@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._scratch import staged
+from millrace.llm._scratch import staged, without
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -216,8 +216,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", **columns: str | None) -> DataFrame:
     """The documents in a known language, in the columns of docs. Rows without id stay."""
-    bad = identify(docs, id_col, **columns).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(staged(bad, "language-rejected").hint("merge"), F.col(id_col) == F.col("bad_id"), "left_anti")
+    return without(docs, identify(docs, id_col, **columns).where(~F.col("kept")).select(id_col), id_col)
 
 
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -2,25 +2,29 @@
 
 Each document's set of word shingles is hashed under 39 permutations, and both the smallest and the
 largest value are kept: 78 unbiased values for 39 evaluations. They form 26 bands of three; two sets
-at the threshold (0.75) share no band with a probability below 1e-6. Documents with equal sets are
+at the threshold (0.75) share no band with a probability of about 1e-6 (5e-6 for sets of a few shingles, where
+minimum and maximum are not independent). Documents of one word sequence (a 128-bit digest of it) are
 one class from the start and one row afterwards.
 
-Links are confirmed on whole sets. Inside a band's bucket pairs are not all confirmed:
+Links are confirmed on whole sets, word by word. Inside a band's bucket pairs are not all confirmed:
  1. each member against the bucket's smallest member; components of these links;
  2. then only members of different components, compared by a 1,024-byte min-max sketch inside the task
-    that holds the bucket (a bucket of more than BLOCK members is dealt out in pairs of blocks);
-    pairs that may reach the threshold are confirmed on whole sets like the rest.
-Between different components every pair of a bucket is looked at, so no link is capped away. The
-sketch estimate has a standard deviation of 0.0135 at the threshold and the cut lies 0.06 below it. A
-pair is handed on in the first band that it shares only.
-
-Sets leave the scan only for documents that share a bucket (found with a bit table of fixed size, no
-document's text is shuffled).
+    that holds the bucket; pairs that may reach the threshold are confirmed on whole sets like the rest.
+The sketch estimate has a standard deviation of 0.0135 at the threshold and the cut lies 0.1 below it, more
+than seven of them. A pair is handed on in the first bucket that it shares only.
+
+Members of a bucket of more than BLOCK are dealt anew for the second step, by an exact prefix filter: two sets
+at the threshold have one of their rarest quarter of shingles in common, so only documents that share such a
+shingle meet. Texts that share a common part but are not similar (templates, licenses) meet nowhere any more.
+What still is a larger bucket is dealt out in pairs of blocks.
+
+Normalised texts leave the scan only for documents that share a bucket (found with a bit table of bounded size).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._scratch import staged
+from millrace.llm._bits import BitTable
+from millrace.llm._scratch import staged, without
 from millrace.llm.components import connected
 
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 26, 3
 SKETCH = 512
-SKETCH_CUT = 0.69
+SKETCH_CUT = 0.65
 BLOCK = 2048
-_BITS = 26
 
 
 def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +61,16 @@ def _extremes(values: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.n
     return out
 
 
-def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, ascending, flat with offsets."""
-    starts, ends, rows = _text.word_bounds(data, offsets)
-    words = _text.word_hashes(_text.lower(data), starts, ends)
+def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Distinct shingles of each text as hashes, ascending, flat with offsets; and the normalised texts."""
+    words, rows = _text.split_words(data.tobytes().translate(_text.LOWER), offsets.tolist())
+    cuts = rows.tolist()
+    texts = [b" ".join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), texts
     size = np.diff(rows)
     n = np.where(size >= k, size - k + 1, np.minimum(size, 1))
-    rolling = _text.Rolling(words) if len(words) else None
-    if rolling is None:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    rolling = _text.Rolling(_text.word_hashes(words))
     cuts = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(size)), n)
     at = np.arange(cuts[-1]) - cuts[doc] + rows[:-1][doc]
@@ -74,7 +79,24 @@ def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     hashes, doc = hashes[order], doc[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[new], np.searchsorted(doc[new], np.arange(len(size) + 1))
+    return hashes[new], np.searchsorted(doc[new], np.arange(len(size) + 1)), texts
+
+
+def _common(x: bytes, y: bytes, k: int) -> tuple[int, int]:
+    """Shingles that two normalised texts have in common and in all, by their words."""
+    a, b = x.split(b" "), y.split(b" ")
+    if len(a) < k or len(b) < k:
+        sets = [{tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} for w in (a, b)]
+        return len(sets[0] & sets[1]), len(sets[0] | sets[1])
+    codes: dict[bytes, int] = {}
+    flat = np.fromiter((codes.setdefault(w, len(codes)) for w in (*a, *b)), np.int64, len(a) + len(b))
+    # A shingle's code is that of its first words and its last, numbered anew each time, so it stays small and exact.
+    code = flat
+    for i in range(1, k):
+        code = np.unique(code[:-1] * np.int64(len(codes)) + flat[i:], return_inverse=True)[1]
+    left, right = np.unique(code[: len(a) - k + 1]), np.unique(code[len(a) :])
+    same = len(np.intersect1d(left, right, assume_unique=True))
+    return same, len(left) + len(right) - same
 
 
 def _bands(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,95 +113,118 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    """id, n (set size), k1 and k2 (fingerprint of the whole set), buckets (one for each band)."""
+    """id, n (set size), same (digest of the word sequence), buckets (one for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                sets, cuts = _shingle_sets(data, offsets, k)
+                sets, cuts, texts = _shingle_sets(data, offsets, k)
                 size = np.diff(cuts)
                 full = np.flatnonzero(size)
-                k1, k2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
                 buckets = np.zeros((len(size), BANDS), np.uint64)
                 if len(full):
-                    starts = cuts[:-1][full]
-                    k1[full] = np.add.reduceat(sets, starts)
-                    k2[full] = np.add.reduceat(_text.mix(sets + np.uint64(1)), starts)
-                    buckets[full] = _bands(sets, starts)
+                    buckets[full] = _bands(sets, cuts[:-1][full])
                 bounds = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size.astype(np.int64)), pa.array(_text.signed(k1)), pa.array(_text.signed(k2)), _text.list_array(_text.signed(buckets[full].ravel()), bounds, pa.int64())],
-                    names=["id", "n", "k1", "k2", "buckets"],
-                )
-
-    return _inputs(docs, id_col, text_col).mapInArrow(run, "id long, n long, k1 long, k2 long, buckets array<long>")
-
+                same = pa.array([blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), same, _text.list_array(_text.signed(buckets[full].ravel()), bounds, pa.int64())], names=["id", "n", "same", "buckets"])
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (_text.mix(ids.view(np.uint64)) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return _inputs(docs, id_col, text_col).mapInArrow(run, "id long, n long, same binary, buckets array<long>")
 
 
-def _bit_table(ids: DataFrame) -> np.ndarray:
-    """2**_BITS bits (8 MB), set for the ids; its size does not depend on how many there are."""
-
+def _id_hashes(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = _slot(np.asarray(batch.column(0), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> 6).astype(np.int32)), pa.array(_text.signed(np.uint64(1) << (slot & 63).astype(np.uint64)))], names=["word", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(_text.signed(_hashed(batch.column(0))))], names=["h"])
+
+    return ids.mapInArrow(run, "h long")
 
-    rows = ids.mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (_BITS - 6), np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
+
+def _hashed(ids: pa.Array) -> np.ndarray:
+    return _text.mix(np.ascontiguousarray(np.asarray(ids, np.int64)).view(np.uint64))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, shingles, sketch, bands) of the wanted ids, and perhaps of some others."""
-    table = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted))
+    """(id, same, n, text, shingles, sketch, bands) of the wanted documents (id, same), and perhaps of some others.
+
+    text is normalised; shingles are hashes, which choose candidates.
+    """
+    wanted = staged(wanted, "near-wanted")
+    table = docs.sparkSession.sparkContext.broadcast(BitTable(_id_hashes(wanted.select("id")), wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            slot = _slot(np.ascontiguousarray(np.asarray(batch.column(0), np.int64)))
-            batch = batch.filter(pa.array(((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
+            batch = batch.filter(pa.array(table.value.may_hold(_hashed(batch.column(0)))))
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                sets, cuts = _shingle_sets(data, offsets, k)
+                sets, cuts, texts = _shingle_sets(data, offsets, k)
                 full = np.flatnonzero(np.diff(cuts))
                 if not len(full):
                     continue
                 bounds = np.concatenate([cuts[:-1][full], [cuts[-1]]])
                 sketch = (_extremes(sets, bounds[:-1], SKETCH, 12) & np.uint64(255)).astype(np.uint8)
-                held = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (sketch, _bands(sets, bounds[:-1]))]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(full)), _text.list_array(_text.signed(sets), bounds, pa.int64()), *held], names=["id", "shingles", "sketch", "bands"])
+                held = [[r.tobytes() for r in sketch], [r.tobytes() for r in _bands(sets, bounds[:-1])]]
+                texts = [texts[i] for i in full.tolist()]
+                same = [blake2b(t, digest_size=16).digest() for t in texts]
+                n = pa.array(np.diff(bounds))
+                columns = [ids.take(pa.array(full)), pa.array(same, pa.binary()), n, pa.array(texts, pa.binary()), _text.list_array(_text.signed(sets), bounds, pa.int64()), *(pa.array(x, pa.binary()) for x in held)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "same", "n", "text", "shingles", "sketch", "bands"])
+
+    found = _inputs(docs, id_col, text_col).mapInArrow(run, "id long, same binary, n long, text binary, shingles array<long>, sketch binary, bands binary")
+    named = wanted.select(F.col("id").alias("w_id"), F.col("same").alias("w_same"))
+    found = found.join(named.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("same") == F.col("w_same")), "left_semi")
+    # Rows that repeat an id and its text are one document.
+    return staged(found.dropDuplicates(["id", "same"]), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (a, b) with percent or more of their union in common, on whole sets of words."""
+    left = sets.select(F.col("id").alias("a_id"), F.col("text").alias("x"), F.col("n").alias("x_n"))
+    right = sets.select(F.col("id").alias("b_id"), F.col("text").alias("y"), F.col("n").alias("y_n"))
+    joined = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+    # A smaller set can have no more than itself in common.
+    joined = joined.where(F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                same, both = _common(x.as_py(), y.as_py(), k)
+                keep.append(same * 100 >= both * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = _inputs(docs, id_col, text_col).mapInArrow(run, "id long, shingles array<long>, sketch binary, bands binary")
-    return staged(found.groupBy("id").agg(*[F.first(c).alias(c) for c in ("shingles", "sketch", "bands")]), "near-sets")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with percent or more of their union in common, on whole sets."""
-    left = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("y"))
-    joined = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
-    same = F.size(F.array_intersect("x", "y"))
-    joined = joined.select("a", "b", same.alias("same"), (F.size("x") + F.size("y") - same).alias("all"))
-    return joined.where(F.col("same") * 100 >= F.col("all") * percent).select("a", "b")
+def _rare_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, component) for documents (id, component): a bucket for each of a set's rarest shingles.
+
+    Of n shingles, ordered by how many of these documents hold them, the first n - ceil(n * percent / 100) + 1 do: two
+    sets at the threshold have one of those in common.
+    """
+    held = rows.join(sets.select(F.col("id").alias("h_id"), "n", "shingles"), F.col("id") == F.col("h_id")).select("id", "component", "n", F.explode("shingles").alias("shingle"))
+    held = staged(held, "near-hot")
+    often = held.groupBy(F.col("shingle").alias("f_shingle")).agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # A shingle of one document leads to no other, but takes a place among the rarest.
+    ranked = held.join(often.hint("merge"), F.col("shingle") == F.col("f_shingle"), "left")
+    ranked = ranked.groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order"))
+    prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return ranked.select("id", "component", F.explode(F.filter(prefix, lambda x: x["often"] > 1)["shingle"]).alias("bucket")).select("bucket", "id", "component")
 
 
-def _likely_pairs(rows: DataFrame) -> DataFrame:
+def _likely_pairs(rows: DataFrame, percent: int, banded: bool) -> DataFrame:
     """Pairs of different components in a bucket whose sketches may reach the threshold.
 
-    rows: bucket, members (size of the bucket), id, component, sketch, bands.
+    rows: bucket, members (size of the bucket), id, component, n, sketch, bands. ``banded``: the buckets are bands.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.select("bucket", "id", "component", "sketch", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    one = rows.where("blocks = 1").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "block", "id", "component", "sketch", "bands")
+    held = ["block", "id", "component", "n", "sketch", "bands"]
+    rows = rows.select("bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), *held[1:])
+    one = rows.where("blocks = 1").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *held)
     many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "sketch", "bands")
+    many = many.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *held)
 
-    def compare(bucket: int, lo: int, hi: int, block: np.ndarray, ids: np.ndarray, comps: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = int(np.ceil(SKETCH_CUT * sketch.shape[1]))
+    def compare(bucket: int, lo: int, hi: int, block: np.ndarray, ids: np.ndarray, comps: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut = int(np.ceil((SKETCH_CUT + (percent - PERCENT) / 100) * sketch.shape[1]))
         here = np.flatnonzero(block == lo)
         there = here if lo == hi else np.flatnonzero(block == hi)
         if lo == hi:  # members of the largest component are compared from the other side
@@ -188,13 +233,15 @@ def _likely_pairs(rows: DataFrame) -> DataFrame:
         a, b = [], []
         other = sketch[there]
         for i in here.tolist():
-            apart = np.flatnonzero(comps[there] != comps[i])
+            n = size[there]  # a smaller set can have no more than itself in common
+            apart = np.flatnonzero((comps[there] != comps[i]) & (np.minimum(n, size[i]) * 100 >= np.maximum(n, size[i]) * percent))
             if not len(apart):
                 continue
             same = np.count_nonzero(other[apart] == sketch[i], axis=1)
             hit = there[apart[same >= cut]]
-            shared = bands[hit] == bands[i]
-            hit = hit[bands[i][shared.argmax(axis=1)] == bucket]
+            if banded:
+                shared = bands[hit] == bands[i]
+                hit = hit[bands[i][shared.argmax(axis=1)] == bucket]
             a.append(np.full(len(hit), ids[i]))
             b.append(ids[hit])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -211,9 +258,9 @@ def _likely_pairs(rows: DataFrame) -> DataFrame:
                 cuts = cuts[:-1]
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 part = table.slice(x, y - x)
-                sketch = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(y - x, -1)
-                bands = np.frombuffer(b"".join(part.column(7).to_pylist()), np.int64).reshape(y - x, -1)
-                a, b = compare(*key[:, x].tolist(), *(np.asarray(part.column(c), np.int64) for c in (3, 4, 5)), sketch, bands)
+                sketch = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint8).reshape(y - x, -1)
+                bands = np.frombuffer(b"".join(part.column(8).to_pylist()), np.int64).reshape(y - x, -1)
+                a, b = compare(*key[:, x].tolist(), *(np.asarray(part.column(c), np.int64) for c in (3, 4, 5, 6)), sketch, bands)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
@@ -225,49 +272,60 @@ def _likely_pairs(rows: DataFrame) -> DataFrame:
             yield from groups(rest, True)
 
     dealt = one.unionAll(many).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles, component_id, kept: a row for each input row; ids are integers.
 
     Words are lower-cased (A-Z). Null and empty texts have no shingles and stay alone. Rows of
-    equal sets share a component. Rows that repeat an id are one document (with different texts, one
-    of them is compared); a row without id is linked with nothing, has a null component and is kept.
-    component_id is the smallest id reachable by links. An empty table gives an empty result.
+    equal sets share a component. Rows that repeat an id are one document, which is linked with all that one of its
+    texts is linked with; n_shingles is the row's own. A row without id is linked with nothing, has a null component
+    and is kept. component_id is the smallest id reachable by links. An empty table gives an empty result; other
+    columns are not read.
     """
     sig = staged(signatures(docs, id_col, text_col, shingle), "near-signatures")
     linked = sig.where("id is not null and n > 0")
-    classes = staged(linked.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "near-classes")
-    rows = classes.select("rep", F.explode("buckets").alias("bucket"))
+    classes = staged(linked.groupBy("same").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "near-classes")
+    rows = classes.select("rep", "same", F.explode("buckets").alias("bucket"))
     shared = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).where("members > 1").withColumnRenamed("bucket", "s_bucket"), "near-buckets")
-    members = staged(rows.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "rep", "hub", "members"), "near-members")
-    sets = _sets_of(docs, members.select("rep").distinct(), id_col, text_col, shingle)
+    members = staged(rows.join(shared, F.col("bucket") == F.col("s_bucket")).select("bucket", "rep", "same", "hub", "members"), "near-members")
+    sets = _sets_of(docs, members.select(F.col("rep").alias("id"), "same").distinct(), id_col, text_col, shingle)
 
     pairs = members.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = staged(_confirmed(pairs, sets, percent), "near-links")
+    # An id with several texts belongs to the class of each.
+    several = linked.groupBy(F.col("id").alias("m_id")).agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x != y").select("m_id")
+    several = linked.join(several, F.col("id") == F.col("m_id")).select("id", F.col("same").alias("i_same")).join(classes, F.col("same") == F.col("i_same"))
+    links = staged(_confirmed(pairs, sets, percent, shingle).unionAll(several.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "near-links")
     found = connected(links)
 
     placed = members.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component"))
     placed = staged(placed, "near-placed")
     open_buckets = placed.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("o_bucket")
-    mixed = placed.join(staged(open_buckets, "near-open"), F.col("bucket") == F.col("o_bucket")).select("bucket", "members", F.col("rep").alias("id"), "component")
-    sketched = mixed.join(sets.select(F.col("id").alias("k_id"), "sketch", "bands"), F.col("id") == F.col("k_id")).select("bucket", "members", "id", "component", "sketch", "bands")
-    more = staged(_confirmed(staged(_likely_pairs(sketched), "near-likely"), sets, percent), "near-links")
+    mixed = staged(placed.join(staged(open_buckets, "near-open"), F.col("bucket") == F.col("o_bucket")).select("bucket", "members", F.col("rep").alias("id"), "component"), "near-mixed")
+    sketches = sets.select(F.col("id").alias("k_id"), "n", "sketch", "bands")
+    sketched = lambda rows: rows.join(sketches, F.col("id") == F.col("k_id")).select("bucket", "members", "id", "component", "n", "sketch", "bands")
+    likely = _likely_pairs(sketched(mixed.where(F.col("members") <= BLOCK)), percent, True)
+    large = mixed.where(F.col("members") > BLOCK).select("id", "component").distinct()
+    if not large.isEmpty():
+        rare = staged(_rare_buckets(large, sets, percent), "near-rare")
+        sizes = rare.groupBy(F.col("bucket").alias("r_bucket")).agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        rare = rare.join(sizes, F.col("bucket") == F.col("r_bucket")).select("bucket", "members", "id", "component")
+        likely = likely.unionAll(_likely_pairs(sketched(rare), percent, False))
+    more = staged(_confirmed(staged(likely.distinct(), "near-likely"), sets, percent, shingle), "near-links")
     if not more.isEmpty():
         found = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("c_n"), F.col("k1").alias("c_k1"), F.col("k2").alias("c_k2"), F.coalesce("component", "rep").alias("named"))
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("c_same"), F.coalesce("component", "rep").alias("named"))
     named = staged(named, "near-named")
-    out = sig.join(named, (F.col("n") == F.col("c_n")) & (F.col("k1") == F.col("c_k1")) & (F.col("k2") == F.col("c_k2")) & F.col("id").isNotNull(), "left")
+    out = sig.join(named, (F.col("same") == F.col("c_same")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("named", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, in the columns of docs."""
-    bad = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(staged(bad, "near-dropped").hint("merge"), docs[id_col].cast("long") == F.col("bad_id"), "left_anti")
+    return without(docs, near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(id_col), id_col)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 ``windows`` routes stretches of documents to the reference blocks that can share a window with them.
 In a block the texts are taken by id; each is parsed greedily against an index of all windows of
-the smaller ids: a match is extended as far as its reference agrees, and the factor is kept if it has 50
-words or more. Parsing goes on at the first window that the factor does not contain, so windows
-across factor boundaries are looked up, too.
+the smaller ids: a match is extended as far as its reference agrees, word by word, and the factor is kept if
+it has 50 words or more. Parsing goes on at the first window that the factor does not contain, so windows
+across factor boundaries are looked up, too. A content that has copies in later documents is
+parsed once more in their place, with itself among the references.
 """
 
 from __future__ import annotations
@@ -17,46 +18,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm.windows import Plan, block_spans, repeated_windows
+from millrace.llm.windows import Plan, Units, block_spans, repeated_windows
 
 SIZE = 50
 GRAM = 20
 
 
-def factors(contents: list[bytes], docs: np.ndarray, cores: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Offsets of windows of each content that also start in a content of smaller id, block by block."""
+def _parse(own: np.ndarray, hashes: list[int], index: dict[int, tuple[int, int]], values: list[np.ndarray], size: int) -> np.ndarray:
+    """Offsets of the windows inside factors of ``size`` words or more."""
+    found, i = [], 0
+    while i < len(hashes):
+        hit = index.get(hashes[i])
+        if hit is None:
+            i += 1
+            continue
+        ref, place = hit
+        n = min(len(own) - i, len(values[ref]) - place)
+        differ = np.flatnonzero(own[i : i + n] != values[ref][place : place + n])
+        length = int(differ[0]) if len(differ) else n
+        if length < size:
+            i += 1
+            continue
+        found.append(np.arange(i, i + length - size + 1))
+        i += length - size + 1
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def factors(contents: list[bytes], docs: np.ndarray, cores: np.ndarray, many: np.ndarray, size: int) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """Offsets of windows of each content that also start in a content of smaller id, block by block.
+
+    Contents are words joined by spaces. For those with ``many``, the windows of their copies in later documents, too.
+    """
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(cores)) + 1, [len(cores)]])
     for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if end - begin < 2 or docs[begin] == docs[end - 1]:
+        if docs[begin] == docs[end - 1] and not many[begin:end].any():
             continue
-        values = [np.frombuffer(c, np.uint64) for c in contents[begin:end]]
+        codes: dict[bytes, int] = {}
+        values = [np.array([codes.setdefault(w, len(codes)) for w in c.split(b" ")], np.uint64) for c in contents[begin:end]]
+        hashes = [_text.Rolling(_text.mix(v + np.uint64(1))).grams(size).tolist() for v in values]
         index: dict[int, tuple[int, int]] = {}
-        waiting: list[tuple[int, list[int]]] = []
+        indexed = 0
+
+        def learn(to: int) -> None:
+            nonlocal indexed
+            for ref in range(indexed, to):
+                for place, h in enumerate(hashes[ref]):
+                    index.setdefault(h, (ref, place))
+            indexed = to
+
+        first = 0
         for m, own in enumerate(values):
-            if m and docs[begin + m] != docs[begin + m - 1]:
-                for ref, hashes in waiting:
-                    for place, h in enumerate(hashes):
-                        index.setdefault(h, (ref, place))
-                waiting = []
-            hashes = _text.Rolling(own).grams(size).tolist()
-            waiting.append((m, hashes))
-            found, i = [], 0
-            while i < len(hashes):
-                hit = index.get(hashes[i])
-                if hit is None:
-                    i += 1
-                    continue
-                ref, place = hit
-                n = min(len(own) - i, len(values[ref]) - place)
-                differ = np.flatnonzero(own[i : i + n] != values[ref][place : place + n])
-                length = int(differ[0]) if len(differ) else n
-                if length < size:
-                    i += 1
-                    continue
-                found.append(np.arange(i, i + length - size + 1))
-                i += length - size + 1
-            if found:
-                yield begin + m, np.concatenate(found)
+            if docs[begin + m] != docs[begin + first]:
+                first = m
+                learn(m)
+            found = _parse(own, hashes[m], index, values, size)
+            if len(found):
+                yield begin + m, False, found
+        learn(len(values))
+        for m in np.flatnonzero(many[begin:end]).tolist():
+            found = _parse(values[m], hashes[m], index, values, size)
+            if len(found):
+                yield begin + m, True, found
 
 
 def _plan(size: int) -> Plan:
@@ -68,25 +90,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A row for each input row. A word goes if a window of ``size`` words that covers it also starts in a
     document of smaller id. Null and empty texts have no words; a row without id is compared with
-    nothing and stays whole. An id names one text; rows that repeat an id must repeat its text, and
-    are treated alike. An empty table gives an empty result.
+    nothing and stays whole. Rows that repeat an id, with the same text or another, are compared with smaller ids
+    only. An empty table gives an empty result; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     plan = _plan(size)
     spans, copies = repeated_windows(rows, plan)
-    spans = spans.withColumnRenamed("id", "s_id")
+    spans = spans.withColumnsRenamed({"id": "s_id", "mark": "s_mark"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                held = block_spans(plan, copies, ids, data, offsets, batch.column(2).slice(at, len(ids)).to_pylist())
+                units = Units(data, offsets, plan.words)
+                held = block_spans(plan, copies, ids, units, batch.column(2).slice(at, len(ids)).to_pylist())
                 at += len(ids)
-                raw, cuts = data.tobytes(), offsets.tolist()
+                all_words, cuts = units.raw.split(b" "), units.rows.tolist()
                 counts, removed, kept = [], [], []
                 for a, b, runs in zip(cuts[:-1], cuts[1:], held, strict=True):
-                    words = raw[a:b].split()
+                    words = all_words[a:b]
                     edge, parts = 0, []
                     for x, y in runs:
                         parts += words[edge:x]
@@ -100,7 +123,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=["id", "n_words", "spans", "kept"],
                 )
 
-    joined = rows.join(spans.hint("merge"), F.col("id") == F.col("s_id"), "left").select("id", "text", "spans")
+    joined = rows.join(spans.hint("merge"), (F.col("id") == F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left").select("id", "text", "spans")
     out = joined.mapInArrow(run, "id long, n_words long, spans array<struct<start long, end long>>, kept string")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 

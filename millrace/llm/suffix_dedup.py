@@ -4,7 +4,8 @@
 block the suffixes that start a window are sorted in two stages: those smaller than their successors
 are sorted directly; a scan of the buckets (first bytes) from left to right then puts each of the
 rest before its bucket's next free place, right when its successor is met. Adjacent suffixes with
-a common prefix of 200 bytes or more start repeated windows.
+a common prefix of 200 bytes or more start repeated windows, and so does a suffix that stands for
+several copies of its content.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm.windows import Plan, block_spans, repeated_windows
+from millrace.llm.windows import Plan, Units, block_spans, repeated_windows
 
 SIZE = 200
 GRAM = 72
@@ -62,8 +63,8 @@ def suffix_order(text: np.ndarray, need: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def repeated_starts(contents: list[bytes], docs: np.ndarray, cores: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Offsets of windows of each content that also start elsewhere in the block."""
+def repeated_starts(contents: list[bytes], docs: np.ndarray, cores: np.ndarray, many: np.ndarray, size: int) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """Offsets of windows of each content that also start elsewhere in the block, or whose content has further copies."""
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     text = np.frombuffer(bytes([_END]).join(contents) + bytes([_END]) * (size + 2), np.uint8)
@@ -91,10 +92,15 @@ def repeated_starts(contents: list[bytes], docs: np.ndarray, cores: np.ndarray,
         prefix = np.where((same := view[p] == view[q]).all(axis=1), size, same.argmin(axis=1))
         hit[p[prefix >= size]] = True
         hit[q[prefix >= size]] = True
+    # A suffix of a content with further copies lies next to theirs in the order of all.
+    own = order[window[order]]
+    hit[own[many[np.searchsorted(starts, own, "right") - 1]]] = True
     places = np.flatnonzero(hit)
     owner = np.searchsorted(starts, places, "right") - 1
-    for member in np.unique(owner).tolist():
-        yield member, places[owner == member] - starts[member]
+    cuts = np.flatnonzero(np.diff(owner)) + 1
+    for offsets in np.split(places, cuts) if len(places) else []:
+        member = int(np.searchsorted(starts, offsets[0], "right")) - 1
+        yield member, False, offsets - starts[member]
 
 
 def _plan(size: int) -> Plan:
@@ -106,20 +112,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte covered by a ``size``-byte string that also starts anywhere else is removed, overlaps
     and further places in the same text included. Null and empty texts have nothing to remove; nor has a
-    row without id, which is compared with nothing. An id names one text; rows that repeat an id must
-    repeat its text, and count as further places. An empty table gives an empty result.
+    row without id, which is compared with nothing. Rows that repeat an id, with the same text or another, are
+    places like others. An empty table gives an empty result; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     plan = _plan(size)
     spans, copies = repeated_windows(rows, plan)
-    spans = spans.withColumnRenamed("id", "s_id")
+    spans = spans.withColumnsRenamed({"id": "s_id", "mark": "s_mark"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                held = block_spans(plan, copies, ids, data, offsets, batch.column(2).slice(at, len(ids)).to_pylist())
+                held = block_spans(plan, copies, ids, Units(data, offsets, plan.words), batch.column(2).slice(at, len(ids)).to_pylist())
                 at += len(ids)
                 raw, cuts = data.tobytes(), offsets.tolist()
                 removed, kept = [], []
@@ -136,7 +142,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=["id", "n_bytes", "spans", "kept"],
                 )
 
-    joined = rows.join(spans.hint("merge"), F.col("id") == F.col("s_id"), "left").select("id", "text", "spans")
+    joined = rows.join(spans.hint("merge"), (F.col("id") == F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left").select("id", "text", "spans")
     out = joined.mapInArrow(run, "id long, n_bytes long, spans array<struct<start long, end long>>, kept binary")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 

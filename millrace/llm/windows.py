@@ -6,17 +6,19 @@ meet. Successive windows with one anchor form a stretch (the windows' union); st
 windows, are what is compared:
 
  1. scan: hashes of anchors; a partial aggregation finds those that occur more than once;
- 2. scan: stretches of repeated anchors as (anchor, digest of the stretch), aggregated to kinds: how
-    often, and the smallest document. Copies of a stretch are decided by this, whatever their number;
- 3. scan: contents of one stretch of each kind, where an anchor has several kinds. They meet by
-    a core that every window of (half of) the stretch contains, and a kernel compares them;
- 4. the last pass over the documents marks the stretches of which all windows are repeated, and adds
-    what steps 2 and 3 found for the others.
-
-Scans read the documents in place and shuffle no text. Bit tables of fixed size (8 MB) tell what
-cannot be: not in the table of the stretches that may stand for their kind means certainly a
-copy. Only the others are joined with the kinds, exactly. Cores with more than HOT contents are
-decided window by window in an aggregation instead of by the kernel.
+ 2. scan: stretches of repeated anchors as (anchor, digest of the content), aggregated to kinds: how
+    often, and the smallest and largest document. A kind is open if it occurs more than once or its anchor has
+    several kinds;
+ 3. scan: the content of one stretch of each open kind. With its count it goes through the kernel, which alone
+    says which windows are repeated. Where an anchor has several kinds, contents meet by a core that every
+    window of (half of) the stretch contains;
+ 4. the last pass over the documents removes the stretches of kinds that the kernel has found to be repeated
+    from end to end, and adds what a join brings for the others.
+
+Scans read the documents in place; of text, one representative of each open kind is shuffled. Bit tables
+of bounded size tell what cannot be; what they let through is joined exactly, so a full table costs rows
+and never results. A core of more than HOT contents is split: its windows
+are aggregated, and one representative of each repeated window goes through the kernel with its count.
 """
 
 from __future__ import annotations
@@ -30,38 +32,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
+from millrace.llm._bits import BitTable
 from millrace.llm._scratch import staged
 
-HOT = 20000
+#: Contents of a core that a task takes together; a core with more is split into its windows.
+HOT = 1000
 #: Bytes of contents that a kernel holds at a time; a core's contents are never parted.
 BLOCK_BYTES = 1 << 20
-_BITS = 26
+
+
+class Units:
+    """The bytes or words of a block of texts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: bool):
+        raw = data.tobytes()
+        if words:
+            held, self.rows = _text.split_words(raw, offsets.tolist())
+            self.raw = b" ".join(held)
+            self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)]).tolist()
+            self.rolling = _text.Rolling(_text.word_hashes(held))
+        else:
+            self.raw, self.at, self.rows = raw, None, offsets
+            self.rolling = _text.byte_rolling(data)
+
+    def cut(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The contents of runs of units; words are joined by one space."""
+        raw, at = self.raw, self.at
+        if at is None:
+            return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return [raw[at[a] : at[b] - 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What a window is. kernel(contents, firsts, docs, groups) yields (member, offsets of its repeated windows)."""
+    """What a window is.
+
+    kernel(contents, docs, groups, many, size) yields (member, later, offsets of its repeated windows);
+    many says which contents have further copies. With ``earlier`` a window counts if it also starts in a
+    document of smaller id, and later tells the copies in later documents from the one in the
+    first; else it counts if it also starts anywhere else, and later is always false.
+    """
 
     size: int
     gram: int
     words: bool
-    earlier: bool  #: a window counts if it also starts in a document of smaller id; else, if anywhere else
+    earlier: bool
     kernel: Callable
 
-    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[_text.Rolling | None, np.ndarray, np.ndarray]:
-        """Hashes of runs of units, the units' values, and row splits."""
-        if self.words:
-            starts, ends, rows = _text.word_bounds(data, offsets)
-            values = _text.word_hashes(data, starts, ends)
-        else:
-            values, rows = data, offsets
-        if len(values) < self.size:
-            return None, values, rows
-        return (_text.Rolling(values) if self.words else _text.byte_rolling(values)), values, rows
-
-    def stretches(self, rolling: _text.Rolling, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    def stretches(self, units: Units) -> tuple[np.ndarray, ...]:
         """Anchor place, first and last window, row and anchor hash of each stretch."""
-        grams = rolling.grams(self.gram)
+        rows = units.rows
+        grams = units.rolling.grams(self.gram)
         anchor = _text.window_argmin(grams, self.size - self.gram + 1)
         n = len(anchor)
         row_end = np.repeat(rows[1:], np.diff(rows))[:n]
@@ -74,39 +95,36 @@ class Plan:
         return anchor[first], first, last, np.searchsorted(rows, first, "right") - 1, grams[anchor[first]]
 
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    """The low bits: anchors are smallest hashes, so their upper bits are mostly zero."""
-    return (hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-
-
-def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _bit(hashes)
-    return ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+def _named(digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A hash of a stretch's digest and its document."""
+    return _text.mix(digest + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _bit_table(hashes: DataFrame) -> np.ndarray:
-    """2**_BITS bits, set for a column of longs; what reaches the driver is bounded by the table."""
-    slot = f"({hashes.columns[0]} & {(1 << _BITS) - 1}L)"
-    rows = hashes.selectExpr(f"cast(shiftright({slot}, 6) as int) as word", f"shiftleft(1L, cast({slot} & 63 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (_BITS - 6), np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
+def _names(kinds: DataFrame) -> DataFrame:
+    """The same for rows of (digest, id)."""
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest, doc = (np.ascontiguousarray(np.asarray(batch.column(k), np.int64)) for k in (0, 1))
+            yield _batch(h=pa.array(_text.signed(_named(digest.view(np.uint64), doc))))
 
-def _named(digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """A hash of a stretch's digest and its document."""
-    return _text.mix(digest + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return kinds.mapInArrow(hashed, "h long")
 
 
 def _scan(docs: DataFrame, plan: Plan, schema: str, emit: Callable[..., pa.RecordBatch | None]) -> DataFrame:
+    """emit for each block: ids, marks (columns of the rows) and units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
+            at = 0
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                rolling, values, rows = plan.units(data, offsets)
-                if rolling is None:
+                marks = batch.column(2).slice(at, len(ids))
+                at += len(ids)
+                units = Units(data, offsets, plan.words)
+                if units.rows[-1] < plan.size:
                     continue
-                out = emit(np.asarray(ids, np.int64), rolling, values, rows)
+                out = emit(np.asarray(ids, np.int64), np.asarray(marks, np.int64), units)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -117,111 +135,117 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _longs(**columns: np.ndarray) -> pa.RecordBatch:
+    return _batch(**{k: pa.array(_text.signed(v) if v.dtype == np.uint64 else v.astype(np.int64, copy=False)) for k, v in columns.items()})
+
+
 def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
-    """(id, spans) that need a join, staged, and a function that finds all others inside a document.
+    """(id, mark, spans) that need a join, staged, and a function that finds all others inside a document.
 
-    spans are runs [a, b) of units covered by repeated windows; the function takes ids, rolling
-    hashes and row splits of a block and gives rows, a and b. docs has id (long) and text. Rows without
-    id are left out. An id names one text: rows that repeat an id are expected to repeat its text.
+    spans are runs [a, b) of units covered by repeated windows; the function takes ids and units of a block
+    and gives rows, a and b. docs has id (long), text and mark (a long that depends on the text alone and
+    tells rows of one id apart). Rows without id are left out.
     """
     context, size, gram = docs.sparkSession.sparkContext, plan.size, plan.gram
 
-    def anchors(ids, rolling, values, rows):
-        return _batch(key=pa.array(_text.signed(plan.stretches(rolling, rows)[4])))
+    def anchors(ids, marks, units):
+        return _longs(key=plan.stretches(units)[4])
 
     keys = _scan(docs, plan, "key long", anchors).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    repeated = context.broadcast(_bit_table(keys))
+    keys = staged(keys, "window-keys")
+    repeated = context.broadcast(BitTable(keys, keys.count()))
 
-    def found(ids, rolling, rows):
-        """Stretches whose anchor may be repeated: anchor, first, last, row, key, digest."""
-        anchor, first, last, row, key = plan.stretches(rolling, rows)
-        at = np.flatnonzero(_in_table(repeated.value, key))
+    def found(ids, units):
+        """Stretches whose anchor may be repeated: anchor, first, last, row, key, digest, name."""
+        anchor, first, last, row, key = plan.stretches(units)
+        at = np.flatnonzero(repeated.value.may_hold(key))
         anchor, first, last, row, key = anchor[at], first[at], last[at], row[at], key[at]
-        return anchor, first, last, row, key, _text.mix(rolling(first, last + size) + (anchor - first).astype(np.uint64))
+        digest = _text.digests(units.cut(first, last + size))
+        return anchor, first, last, row, key, digest, _named(digest, np.ascontiguousarray(ids[row]))
 
-    def stretches(ids, rolling, values, rows):
-        _, _, _, row, key, digest = found(ids, rolling, rows)
-        return _batch(key=pa.array(_text.signed(key)), digest=pa.array(_text.signed(digest)), id=pa.array(ids[row]))
+    def stretches(ids, marks, units):
+        _, _, _, row, key, digest, _ = found(ids, units)
+        return _longs(key=key, digest=digest, id=ids[row])
 
     kinds = _scan(docs, plan, "key long, digest long, id long", stretches).groupBy(F.col("key").alias("c_key"), F.col("digest").alias("c_digest"))
-    kinds = staged(kinds.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "window-kinds")
+    kinds = staged(kinds.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")), "window-kinds")
     several = staged(kinds.groupBy(F.col("c_key").alias("m_key")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m_key"), "window-anchors")
-    one = staged(kinds.join(several.hint("merge"), F.col("c_key") == F.col("m_key"), "left_semi").select("c_key", "c_digest", "least"), "window-members")
+    marked = kinds.join(several.hint("merge"), F.col("c_key") == F.col("m_key"), "left").where("n > 1 or m_key is not null")
+    many = F.col("least") < F.col("most") if plan.earlier else F.col("n") > 1
+    opened = staged(marked.select("c_key", "c_digest", "least", many.alias("many"), F.col("m_key").isNotNull().alias("several")), "window-opened")
+    wanted = context.broadcast(BitTable(_names(opened.select("c_digest", "least")), opened.count()))
 
-    def hashed(batches):
-        for batch in batches:
-            digest, doc = (np.ascontiguousarray(np.asarray(batch.column(k), np.int64)) for k in (0, 1))
-            yield _batch(h=pa.array(_text.signed(_named(digest.view(np.uint64), doc))))
-
-    wanted = context.broadcast(_bit_table(one.select("c_digest", "least").mapInArrow(hashed, "h long")))
-    # Stretches that may stand for their kind: not certainly copies.
+    # A stretch may be a copy from end to end unless it stands for its kind.
     first_ones = kinds if plan.earlier else kinds.where("n = 1")
-    standing = context.broadcast(_bit_table(first_ones.select("c_digest", "least").mapInArrow(hashed, "h long")))
-    half = (size - gram) // 2
+    standing = context.broadcast(BitTable(_names(first_ones.select("c_digest", "least")), first_ones.count()))
 
-    def open_ones(ids, rolling, values, rows):
+    def open_ones(ids, marks, units):
         """Stretches to be decided by a join (side 0), and contents for the kernel (side 1)."""
-        anchor, first, last, row, key, digest = found(ids, rolling, rows)
-        doc = np.ascontiguousarray(ids[row])
-        name = _named(digest, doc)
-        at = np.flatnonzero(_in_table(standing.value, name))
-        sides = [(np.zeros(len(at), np.int64), key[at], key[at], digest[at], doc[at], first[at] - rows[row[at]], last[at] - rows[row[at]], [None] * len(at))]
-        at = np.flatnonzero(_in_table(wanted.value, name))
-        at = at[np.sort(np.unique(name[at], return_index=True)[1])]  # a document's copies of a stretch count once
-        anchor, first, last, row, key, digest, doc = (x[at] for x in (anchor, first, last, row, key, digest, doc))
-        raw, width = values.tobytes(), values.itemsize
-        for salt, a, b, lo, hi in ((1, first, np.minimum(last, anchor - half), anchor - half, anchor + gram), (2, np.maximum(first, anchor - half + 1), last, anchor, anchor - half + 1 + size)):
-            ok = np.flatnonzero(a <= b)
-            core = _text.mix(rolling(lo[ok], hi[ok]) + np.uint64(salt))
-            held = [raw[x * width : (y + size) * width] for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
-            sides.append((np.ones(len(ok), np.int64), core, key[ok], digest[ok], doc[ok], a[ok] - first[ok], np.zeros(len(ok), np.int64), held))
-        side, core, key, digest, doc, start, end = (np.concatenate([s[i] for s in sides]) for i in range(7))
+        anchor, first, last, row, key, digest, name = found(ids, units)
+        doc, mark = ids[row], marks[row]
+        held = np.flatnonzero(standing.value.may_hold(name))
+        sent = np.flatnonzero(wanted.value.may_hold(name))
+        sent = sent[np.sort(np.unique(name[sent], return_index=True)[1])]  # a document's copies of a stretch are one content
+        at = np.concatenate([held, sent])
+        side = np.repeat([0, 1], [len(held), len(sent)]).astype(np.int32)
+        content = [None] * len(held) + units.cut(first[sent], last[sent] + size)
         return _batch(
-            side=pa.array(side.astype(np.int32)), core=pa.array(_text.signed(core)), key=pa.array(_text.signed(key)), digest=pa.array(_text.signed(digest)), id=pa.array(doc),
-            start=pa.array(start.astype(np.int32)), end=pa.array(end.astype(np.int32)), content=pa.array([c for s in sides for c in s[7]], pa.binary()),
+            side=pa.array(side), key=pa.array(_text.signed(key[at])), digest=pa.array(_text.signed(digest[at])), id=pa.array(doc[at]), mark=pa.array(mark[at]),
+            first=pa.array(first[at] - units.rows[row[at]]), last=pa.array(last[at] - units.rows[row[at]]), anchor=pa.array(anchor[at] - first[at]), content=pa.array(content, pa.binary()),
         )
 
-    both = staged(_scan(docs, plan, "side int, core long, key long, digest long, id long, start int, end int, content binary", open_ones), "window-open")
-    same = (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest")) & (F.col("id") == F.col("least"))
-    members = both.where("side = 1").select("core", "key", "digest", "id", F.col("start").alias("skip"), "content")
-    members = staged(members.join(one.hint("merge"), same, "left_semi"), "window-contents")
+    both = staged(_scan(docs, plan, "side int, key long, digest long, id long, mark long, first long, last long, anchor long, content binary", open_ones), "window-open")
+    same = (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest"))
+    members = both.where("side = 1").join(opened.hint("merge"), same & (F.col("id") == F.col("least")))
+    members = members.select("key", "digest", "id", (F.col("last") - F.col("first") + 1).alias("total"), "many", "several", "anchor", "content")
+    members = staged(_cores(members, plan), "window-members")
     hot = staged(members.groupBy(F.col("core").alias("h_core")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("h_core"), "window-hot")
     if hot.isEmpty():
         fine = _by_kernel(members, plan)
     else:
         match = F.col("core") == F.col("h_core")
         fine = _by_kernel(members.join(hot.hint("merge"), match, "left_anti"), plan).unionAll(_by_window(members.join(hot.hint("merge"), match, "left_semi"), plan))
-    fine = staged(fine, "window-fine").select(F.col("key").alias("f_key"), F.col("digest").alias("f_digest"), "lo", "hi")
-
-    undecided = both.where("side = 0").select("key", "digest", "id", F.col("start").alias("first"), F.col("end").alias("last"))
-    joined = undecided.join(kinds.hint("merge"), (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest")))
-    joined = joined.withColumn("whole", F.col("least") < F.col("id") if plan.earlier else F.col("n") > 1)
-    joined = staged(joined.select("key", "digest", "id", "first", "last", "whole"), "window-decided")
-    whole = joined.where("whole").select("id", F.col("first").alias("a"), (F.col("last") + size).alias("b"))
-    part = joined.where("not whole").join(fine.hint("merge"), (F.col("key") == F.col("f_key")) & (F.col("digest") == F.col("f_digest")))
-    part = part.select("id", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + size).alias("b"))
-    spans = staged(whole.unionAll(part).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "window-spans")
-
-    def copies(ids, rolling, rows):
+    fine = staged(fine, "window-fine")
+
+    # Kinds that the kernel found repeated from end to end; any other copy is left to the join.
+    ends = fine.where("later") if plan.earlier else fine
+    ends = ends.groupBy("key", "digest").agg(F.first("total").alias("total"), F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    ends = ends.where(F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"] + 1) == F.col("total")).select(F.col("key").alias("e_key"), F.col("digest").alias("e_digest"))
+    unproven = staged(opened.where("many").join(ends.hint("merge"), (F.col("c_key") == F.col("e_key")) & (F.col("c_digest") == F.col("e_digest")), "left_anti").select("c_digest"), "window-unproven")
+    doubted = context.broadcast(None if unproven.isEmpty() else BitTable(unproven, unproven.count()))
+
+    undecided = both.where("side = 0").select("key", "digest", "id", "mark", "first")
+    if plan.earlier:
+        undecided = undecided.join(kinds.hint("merge"), same).select("key", "digest", "id", "mark", "first", (F.col("least") < F.col("id")).alias("is_later"))
+    else:
+        undecided = undecided.withColumn("is_later", F.lit(False))
+    runs = fine.select(F.col("key").alias("c_key"), F.col("digest").alias("c_digest"), "later", "lo", "hi")
+    part = undecided.join(runs.hint("merge"), same & (F.col("is_later") == F.col("later")))
+    part = part.select("id", "mark", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + size).alias("b"))
+    spans = staged(part.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "window-spans")
+
+    def copies(ids, units):
         """Stretches that certainly are copies: row, a and b."""
-        _, first, last, row, _, digest = found(ids, rolling, rows)
-        at = np.flatnonzero(~_in_table(standing.value, _named(digest, np.ascontiguousarray(ids[row]))))
-        return row[at], first[at] - rows[row[at]], last[at] - rows[row[at]] + size
+        _, first, last, row, _, digest, name = found(ids, units)
+        certain = ~standing.value.may_hold(name)
+        if doubted.value is not None:
+            certain &= ~doubted.value.may_hold(digest)
+        at = np.flatnonzero(certain)
+        return row[at], first[at] - units.rows[row[at]], last[at] - units.rows[row[at]] + size
 
     return spans, copies
 
 
-def block_spans(plan: Plan, copies: Callable, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, joined: list) -> list[list[tuple[int, int]]]:
+def block_spans(plan: Plan, copies: Callable, ids: pa.Array, units: Units, joined: list) -> list[list[tuple[int, int]]]:
     """Maximal runs of covered units of each text of a block; ``joined`` has the spans that came by a join."""
-    rolling, _, rows = plan.units(data, offsets)
     out: list[list[tuple[int, int]]] = [[(s["a"], s["b"]) for s in found or []] for found in joined]
-    if rolling is not None:
+    if units.rows[-1] >= plan.size:
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        row, a, b = copies(np.asarray(ids.fill_null(0), np.int64), rolling, rows)
+        row, a, b = copies(np.asarray(ids.fill_null(0), np.int64), units)
         for r, x, y in zip(row.tolist(), a.tolist(), b.tolist(), strict=True):
             if known[r]:
                 out[r].append((x, y))
-    return [merged(found, n) for found, n in zip(out, np.diff(rows).tolist(), strict=True)]
+    return [merged(found, n) for found, n in zip(out, np.diff(units.rows).tolist(), strict=True)]
 
 
 def _runs(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,20 +254,74 @@ def _runs(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets[np.concatenate([[0], cut + 1])], offsets[np.concatenate([cut, [len(offsets) - 1]])]
 
 
-def _by_kernel(members: DataFrame, plan: Plan) -> DataFrame:
-    """Runs of repeated windows of each member, as offsets from its stretch."""
+MEMBER = "core long, key long, digest long, id long, total long, many boolean, skip long, content binary"
+
+
+_MEMBER = [c.split()[0] for c in MEMBER.split(", ")]
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _unit_bounds(content: bytes, words: bool) -> tuple[list[int], int]:
+    """Starts of a content's units (one more than units), and the bytes between two units."""
+    if not words:
+        return range(len(content) + 1), 0
+    at = [0]
+    for w in content.split(b" "):
+        at.append(at[-1] + len(w) + 1)
+    return at, 1
+
+
+def _cores(members: DataFrame, plan: Plan) -> DataFrame:
+    """MEMBER rows: whole stretches by their key, or halves by the digest of a core, where an anchor has several kinds.
 
-    def decide(table: pa.Table) -> pa.RecordBatch | None:
-        core, key, digest, doc = (np.asarray(table.column(k), np.int64) for k in range(4))
-        skip = np.asarray(table.column(4), np.int64)
+    A window that starts by ``half`` units or more before the anchor contains the units from there to the anchor's end;
+    any other contains those from the anchor to the end of the foremost of them.
+    """
+    size, gram = plan.size, plan.gram
+    half = (size - gram) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, digest, id_, total, many, several, r, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not several:
+                    out.append((key, key, digest, id_, total, many, 0, content))
+                    continue
+                at, gap = _unit_bounds(content, plan.words)
+                for salt, a, b, lo, hi in ((b"1", 0, min(total - 1, r - half), r - half, r + gram), (b"2", max(0, r - half + 1), total - 1, r, r - half + 1 + size)):
+                    if a <= b:
+                        core = _text.signed(_text.digests([salt + content[at[lo] : at[hi] - gap]]))[0]
+                        out.append((core, key, digest, id_, total, many, a, content[at[a] : at[b + size] - gap]))
+            yield _table(out, MEMBER)
+
+    return members.mapInArrow(run, MEMBER)
+
+
+RUN = "key long, digest long, total long, later boolean, lo long, hi long"
+
+
+def _by_kernel(members: DataFrame, plan: Plan) -> DataFrame:
+    """RUN rows: runs of repeated windows of each member, as offsets from its stretch."""
+
+    def decide(table: pa.Table) -> pa.RecordBatch:
+        core, key, digest, doc, total = (np.asarray(table.column(k), np.int64) for k in range(5))
+        many, skip = table.column(5).to_numpy(), np.asarray(table.column(6), np.int64)
+        again = np.zeros(len(core), bool)  # rows that repeat an id and its text bring a content twice
+        again[1:] = (core[1:] == core[:-1]) & (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]) & (skip[1:] == skip[:-1])
+        own = np.flatnonzero(~again)
+        contents = table.column(7).to_pylist()
         out = []
-        for member, offsets in plan.kernel(table.column(5).to_pylist(), doc, core, plan.size):
+        for member, later, offsets in plan.kernel([contents[i] for i in own], doc[own], core[own], many[own], plan.size):
+            member = own[member]
             for lo, hi in zip(*_runs(offsets), strict=True):
-                out.append((key[member], digest[member], lo + skip[member], hi + skip[member]))
-        if not out:
-            return None
-        cols = list(zip(*out, strict=True))
-        return _batch(key=pa.array(cols[0], pa.int64()), digest=pa.array(cols[1], pa.int64()), lo=pa.array(cols[2], pa.int32()), hi=pa.array(cols[3], pa.int32()))
+                out.append((key[member], digest[member], total[member], later, lo + skip[member], hi + skip[member]))
+        return _table(out, RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -258,38 +336,57 @@ def _by_kernel(members: DataFrame, plan: Plan) -> DataFrame:
                 core = np.asarray(rest.column(0), np.int64)
                 cut = int(np.searchsorted(-(core != core[-1]).astype(np.int8), 0, "left"))
                 if cut:
-                    out = decide(rest.slice(0, cut))
+                    yield decide(rest.slice(0, cut))
                     rest = rest.slice(cut).combine_chunks()
-                    if out is not None:
-                        yield out
         if rest is not None and rest.num_rows:
-            out = decide(rest)
-            if out is not None:
-                yield out
+            yield decide(rest)
 
-    dealt = members.select("core", "key", "digest", "id", "skip", "content").repartition("core").sortWithinPartitions("core", "id")
-    return dealt.mapInArrow(run, "key long, digest long, lo int, hi int")
+    dealt = members.select(*_MEMBER).repartition("core").sortWithinPartitions("core", "id", "key", "digest", "skip")
+    return dealt.mapInArrow(run, RUN)
 
 
 def _by_window(members: DataFrame, plan: Plan) -> DataFrame:
-    """The same for cores with very many members: a row for each window, decided by an aggregation."""
+    """The same for cores with very many members: their windows are aggregated, and one of each goes through the kernel."""
+    size = plan.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, digest, doc, skip, content in zip(*(batch.column(n).to_pylist() for n in ("key", "digest", "id", "skip", "content")), strict=True):
-                values = np.frombuffer(content, np.uint64 if plan.words else np.uint8)
-                rolling = _text.Rolling(values) if plan.words else _text.byte_rolling(values)
-                h = rolling.grams(plan.size)
-                other = _text.mix(rolling.grams(plan.size // 2)[: len(h)] * np.uint64(3) + h)
-                n = len(h)
-                yield _batch(h=pa.array(_text.signed(h)), g=pa.array(_text.signed(other)), key=pa.array(np.full(n, key)), digest=pa.array(np.full(n, digest)), id=pa.array(np.full(n, doc)), at=pa.array((np.arange(n) + skip).astype(np.int32)))
-
-    rows = staged(members.mapInArrow(run, "h long, g long, key long, digest long, id long, at int"), "window-rows")
-    groups = rows.groupBy(F.col("h").alias("g_h"), F.col("g").alias("g_g")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-    hit = rows.join(staged(groups, "window-groups").hint("merge"), (F.col("h") == F.col("g_h")) & (F.col("g") == F.col("g_g")))
-    if plan.earlier:
-        hit = hit.where("least < id")
-    return hit.select("key", "digest", F.col("at").alias("lo"), F.col("at").alias("hi"))
+            for key, digest, id_, total, many, skip, content in zip(*(batch.column(n).to_pylist() for n in _MEMBER[1:]), strict=True):
+                at, gap = _unit_bounds(content, plan.words)
+                n = len(at) - size
+                h = _text.digests([content[at[i] : at[i + size] - gap] for i in range(n)])
+                yield _batch(
+                    h=pa.array(_text.signed(h)), key=pa.array(np.full(n, key)), digest=pa.array(np.full(n, digest)), id=pa.array(np.full(n, id_)),
+                    total=pa.array(np.full(n, total)), many=pa.array(np.full(n, many)), at=pa.array(np.arange(n) + skip), skip=pa.array(np.full(n, skip)),
+                )
+
+    rows = staged(members.mapInArrow(run, "h long, key long, digest long, id long, total long, many boolean, at long, skip long"), "window-rows")
+    groups = rows.groupBy(F.col("h").alias("g_h")).agg(
+        F.count(F.lit(1)).alias("k"), F.max("many").alias("g_many"), F.min("id").alias("g_least"), F.max("id").alias("g_most"), F.min(F.struct("id", "key", "digest", "skip", "at")).alias("one")
+    )
+    groups = staged(groups.where("k > 1 or g_many"), "window-groups")
+    ones = groups.select("g_h", "k", "g_many", "g_least", "g_most", *[F.col(f"one.{c}").alias(f"o_{c}") for c in ("key", "digest", "skip", "at")])
+    match = (F.col("key") == F.col("o_key")) & (F.col("digest") == F.col("o_digest")) & (F.col("skip") == F.col("o_skip"))
+    held = members.select("key", "digest", "skip", "content").join(ones.hint("merge"), match)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, least, many, place, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, gap = _unit_bounds(content, plan.words)
+                out.append((h, h, h, least, 1, many, 0, content[at[place] : at[place + size] - gap]))
+            yield _table(out, MEMBER)
+
+    further = (F.col("g_least") < F.col("g_most")) | F.col("g_many") if plan.earlier else F.lit(True)
+    proven = _by_kernel(held.select("g_h", "g_least", further.alias("many"), F.col("o_at") - F.col("skip"), "content").mapInArrow(cut, MEMBER), plan)
+    proven = staged(proven.select(F.col("key").alias("p_h")).distinct(), "window-proven")
+    known = groups.select("g_h", "g_least").join(proven.hint("merge"), F.col("g_h") == F.col("p_h"))
+    hit = rows.join(known.hint("merge"), F.col("h") == F.col("g_h"))
+    place = [F.col("at").alias("lo"), F.col("at").alias("hi")]
+    if not plan.earlier:
+        return hit.select("key", "digest", "total", F.lit(False).alias("later"), *place)
+    sides = F.array(F.when(F.col("g_least") < F.col("id"), F.lit(False)), F.when(F.col("many"), F.lit(True)))
+    return hit.select("key", "digest", "total", F.explode(F.array_compact(sides)).alias("later"), *place)
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:

@@ -236,7 +236,7 @@ def test_two_stage_order():
         contents = ["".join(r.choice("ab") for _ in range(r.randint(6, 40))).encode() for _ in range(r.randint(1, 6))]
         count = collections.Counter(c[s : s + 6] for c in contents for s in range(len(c) - 5))
         want = {m: [s for s in range(len(c) - 5) if count[c[s : s + 6]] > 1] for m, c in enumerate(contents)}
-        got = {m: o.tolist() for m, o in suffix_dedup.repeated_starts(contents, None, None, 6)}
+        got = {m: o.tolist() for m, _, o in suffix_dedup.repeated_starts(contents, None, None, np.zeros(len(contents), bool), 6)}
         assert got == {m: o for m, o in want.items() if o}
 
 
