@@ -1,16 +1,14 @@
 """Text primitives for Arrow batches: words, digests, rolling hashes, window minima.
 
 All functions work on one byte buffer that holds many whole texts. Equality is decided by content or
-by a digest of it (BLAKE2b; 64 bits for a word, at least 128 with its key for anything longer). Rolling hashes
-are polynomials modulo 2**64 with an odd base and are weak on purpose-made strings: they choose and
-route (anchors, buckets), and never decide that two texts are equal.
+by a digest of it (BLAKE2b). Rolling hashes are polynomials modulo 2**64 with an odd base and are weak on
+purpose-made strings: they choose and route (anchors, buckets), and never decide that two texts are equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,10 +89,15 @@ def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Ite
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: bytes.translate tables: A-Z in lower case, all other bytes as they are.
+#: For bytes.translate: A-Z in lower case, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of the words [^\\x20\\x09-\\x0D]+, and row splits by text."""
     n = len(data)
@@ -116,30 +119,69 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 _VALUES = _BYTE_VALUES.copy()
 
 
-class _WordHashes(dict):
-    """64-bit digests of words; short ones are kept, up to a bounded number."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= 1 << 20:
-                self.clear()
-            self[word] = h
-        return h
-
+#: Words of more bytes are hashed by a digest, one by one.
+_LONG_WORD = 256
 
-_word_hashes = _WordHashes()
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One uint64 for each word, all words at once: their bytes by eights, mixed in one after the other.
 
-def split_words(raw: bytes, cuts: list[int]) -> tuple[list[bytes], np.ndarray]:
-    """The words [^\\x20\\x09-\\x0D]+ of each text raw[cuts[i]:cuts[i + 1]], flat, and row splits."""
-    held = [raw[a:b].split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return list(chain.from_iterable(held)), np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))])
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """One uint64 for each word, by a digest of its bytes."""
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    Each step is a bijection of the state and of the bytes, and not linear, so that no sums of terms can cancel out.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    eights = np.zeros(len(data) // 8 + 3, np.uint64)
+    eights.view(np.uint8)[: len(data)] = data
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    word = np.flatnonzero(size <= _LONG_WORD)
+    at, left = starts[word], size[word]
+    while len(word):
+        cell, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        # A shift by 64 bits is made in two steps.
+        x = (eights[cell] >> shift) | ((eights[cell + 1] << (np.uint64(63) - shift)) << np.uint64(1))
+        short = np.flatnonzero(left < 8)
+        x[short] &= (np.uint64(1) << (left[short] << 3).astype(np.uint64)) - np.uint64(1)
+        h[word] = mix((h[word] ^ x) * np.uint64(_BASE))
+        on = np.flatnonzero(left > 8)
+        word, at, left = word[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+class Words:
+    """The words of a block of texts: hashes, row splits, and the texts with one space between words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, self.rows = word_bounds(data, offsets)
+        self.hashes = word_hashes(data, starts, ends)
+        # Keep the words and the byte behind each, if it lies in the block; that of another text is never looked at.
+        keep = np.zeros(len(data) + 1, np.int8)
+        keep[starts] += 1
+        keep[ends] -= 1
+        inside = np.cumsum(keep[:-1], dtype=np.int8).view(bool)
+        behind = ends[ends < len(data)]
+        kept = inside.copy()
+        kept[behind] = True
+        self.raw = np.where(inside, data, np.uint8(32))[kept].tobytes()
+        place = np.cumsum(kept) - kept
+        self.starts = place[starts]
+        self.ends = self.starts + (ends - starts)
+
+    def cut(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Runs of words [first, end) of one text each, joined by single spaces; an empty run gives no bytes."""
+        raw = self.raw
+        filled = np.flatnonzero(end > first)
+        if len(filled) < len(first):
+            out = [b""] * len(first)
+            for i, x in zip(filled.tolist(), self.cut(first[filled], end[filled]), strict=True):
+                out[i] = x
+            return out
+        return [raw[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[end - 1].tolist(), strict=True)]
+
+    def texts(self) -> list[bytes]:
+        return self.cut(self.rows[:-1], self.rows[1:])
 
 
 def digests(pieces: list[bytes]) -> np.ndarray:

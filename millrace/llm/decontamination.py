@@ -14,7 +14,6 @@ cannot have a partner; those that stay are joined exactly. With them goes the ne
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,10 @@ _PUNCTUATION = bytes(b for b in range(128) if not chr(b).isalnum() and b not in
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in lower case without ASCII punctuation (a word of nothing else is none), and row splits."""
     raw, cuts = data.tobytes(), offsets.tolist()
-    held = [raw[a:b].translate(_text.LOWER, _PUNCTUATION).split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    rows = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))])
-    return _text.word_hashes(list(chain.from_iterable(held))), rows
+    held = [raw[a:b].translate(_text.LOWER, _PUNCTUATION) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    data = np.frombuffer(b"".join(held), np.uint8)
+    starts, ends, rows = _text.word_bounds(data, np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))]))
+    return _text.word_hashes(data, starts, ends), rows
 
 
 def _seeds(words: np.ndarray, rows: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

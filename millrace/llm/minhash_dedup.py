@@ -63,14 +63,13 @@ def _extremes(values: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.n
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Distinct shingles of each text as hashes, ascending, flat with offsets; and the normalised texts."""
-    words, rows = _text.split_words(data.tobytes().translate(_text.LOWER), offsets.tolist())
-    cuts = rows.tolist()
-    texts = [b" ".join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    if not words:
+    words = _text.Words(_text.lower(data), offsets)
+    rows, texts = words.rows, words.texts()
+    if not len(words.hashes):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), texts
     size = np.diff(rows)
     n = np.where(size >= k, size - k + 1, np.minimum(size, 1))
-    rolling = _text.Rolling(_text.word_hashes(words))
+    rolling = _text.Rolling(words.hashes)
     cuts = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(size)), n)
     at = np.arange(cuts[-1]) - cuts[doc] + rows[:-1][doc]

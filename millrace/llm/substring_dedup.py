@@ -106,18 +106,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 units = Units(data, offsets, plan.words)
                 held = block_spans(plan, copies, ids, units, batch.column(2).slice(at, len(ids)).to_pylist())
                 at += len(ids)
-                all_words, cuts = units.raw.split(b" "), units.rows.tolist()
-                counts, removed, kept = [], [], []
-                for a, b, runs in zip(cuts[:-1], cuts[1:], held, strict=True):
-                    words = all_words[a:b]
-                    edge, parts = 0, []
-                    for x, y in runs:
-                        parts += words[edge:x]
-                        edge = y
-                    parts += words[edge:]
-                    counts.append(len(words))
-                    removed.append([{"start": x, "end": y} for x, y in runs])
-                    kept.append(b" ".join(parts).decode())
+                counts, cuts = np.diff(units.rows), units.rows.tolist()
+                pieces = [[*((x, y) for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), n], strict=True) if x < y)] for runs, n in zip(held, counts.tolist(), strict=True)]
+                flat = np.array([(a + x, a + y) for a, runs in zip(cuts[:-1], pieces, strict=True) for x, y in runs], np.int64).reshape(-1, 2)
+                parts = iter(units.cut(flat[:, 0], flat[:, 1]))
+                kept = [b" ".join(next(parts) for _ in runs).decode() for runs in pieces]
+                removed = [[{"start": x, "end": y} for x, y in runs] for runs in held]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
                     names=["id", "n_words", "spans", "kept"],

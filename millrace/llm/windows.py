@@ -9,13 +9,14 @@ windows, are what is compared:
  2. scan: stretches of repeated anchors as (anchor, digest of the content), aggregated to kinds: how
     often, and the smallest and largest document. A kind is open if it occurs more than once or its anchor has
     several kinds;
- 3. scan: the content of one stretch of each open kind. With its count it goes through the kernel, which alone
-    says which windows are repeated. Where an anchor has several kinds, contents meet by a core that every
-    window of (half of) the stretch contains;
+ 3. scan: one stretch of each open kind, with its count, goes through the kernel, which alone says which windows
+    are repeated. Where an anchor has several kinds, contents are shuffled and meet by a core that every
+    window of (half of) the stretch contains; a kind that has its anchor to itself can meet nothing but its own
+    copies and stays in the task that reads it;
  4. the last pass over the documents removes the stretches of kinds that the kernel has found to be repeated
     from end to end, and adds what a join brings for the others.
 
-Scans read the documents in place; of text, one representative of each open kind is shuffled. Bit tables
+Scans read the documents in place; of text, one stretch of each kind whose anchor has several is shuffled. Bit tables
 of bounded size tell what cannot be; what they let through is joined exactly, so a full table costs rows
 and never results. A core of more than HOT contents is split: its windows
 are aggregated, and one representative of each repeated window goes through the kernel with its count.
@@ -45,22 +46,15 @@ class Units:
     """The bytes or words of a block of texts."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, words: bool):
-        raw = data.tobytes()
         if words:
-            held, self.rows = _text.split_words(raw, offsets.tolist())
-            self.raw = b" ".join(held)
-            self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)]).tolist()
-            self.rolling = _text.Rolling(_text.word_hashes(held))
+            held = _text.Words(data, offsets)
+            self.rows, self.cut, self.rolling = held.rows, held.cut, _text.Rolling(held.hashes)
         else:
-            self.raw, self.at, self.rows = raw, None, offsets
-            self.rolling = _text.byte_rolling(data)
+            self.raw, self.rows, self.rolling = data.tobytes(), offsets, _text.byte_rolling(data)
 
     def cut(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The contents of runs of units; words are joined by one space."""
-        raw, at = self.raw, self.at
-        if at is None:
-            return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return [raw[at[a] : at[b] - 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return [self.raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 @dataclass(frozen=True)
@@ -173,31 +167,37 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
     marked = kinds.join(several.hint("merge"), F.col("c_key") == F.col("m_key"), "left").where("n > 1 or m_key is not null")
     many = F.col("least") < F.col("most") if plan.earlier else F.col("n") > 1
     opened = staged(marked.select("c_key", "c_digest", "least", many.alias("many"), F.col("m_key").isNotNull().alias("several")), "window-opened")
-    wanted = context.broadcast(BitTable(_names(opened.select("c_digest", "least")), opened.count()))
+    met, lone = (staged(opened.where(x), "window-reps") for x in ("several", "not several"))
+    wanted, alone = (context.broadcast(BitTable(_names(x.select("c_digest", "least")), x.count())) for x in (met, lone))
 
     # A stretch may be a copy from end to end unless it stands for its kind.
     first_ones = kinds if plan.earlier else kinds.where("n = 1")
     standing = context.broadcast(BitTable(_names(first_ones.select("c_digest", "least")), first_ones.count()))
 
     def open_ones(ids, marks, units):
-        """Stretches to be decided by a join (side 0), and contents for the kernel (side 1)."""
+        """Stretches to be decided by a join (side 0), contents for the kernel (1), and what it says of lone kinds (2)."""
         anchor, first, last, row, key, digest, name = found(ids, units)
         doc, mark = ids[row], marks[row]
         held = np.flatnonzero(standing.value.may_hold(name))
         sent = np.flatnonzero(wanted.value.may_hold(name))
         sent = sent[np.sort(np.unique(name[sent], return_index=True)[1])]  # a document's copies of a stretch are one content
-        at = np.concatenate([held, sent])
-        side = np.repeat([0, 1], [len(held), len(sent)]).astype(np.int32)
-        content = [None] * len(held) + units.cut(first[sent], last[sent] + size)
+        own, lo, hi = _lone_runs(units, plan, first, last, row, name, np.flatnonzero(alone.value.may_hold(name)))
+        at = np.concatenate([held, sent, own])
+        side = np.repeat([0, 1, 2], [len(held), len(sent), len(own)]).astype(np.int32)
+        content = [None] * len(held) + units.cut(first[sent], last[sent] + size) + [None] * len(own)
+        place = first - units.rows[row]
+        begin, end = np.concatenate([place[held], place[sent], lo]), np.concatenate([(place + last - first)[held], (place + last - first)[sent], hi])
+        third = np.concatenate([(anchor - first)[held], (anchor - first)[sent], (last - first + 1)[own]])
         return _batch(
             side=pa.array(side), key=pa.array(_text.signed(key[at])), digest=pa.array(_text.signed(digest[at])), id=pa.array(doc[at]), mark=pa.array(mark[at]),
-            first=pa.array(first[at] - units.rows[row[at]]), last=pa.array(last[at] - units.rows[row[at]]), anchor=pa.array(anchor[at] - first[at]), content=pa.array(content, pa.binary()),
+            first=pa.array(begin), last=pa.array(end), anchor=pa.array(third), content=pa.array(content, pa.binary()),
         )
 
     both = staged(_scan(docs, plan, "side int, key long, digest long, id long, mark long, first long, last long, anchor long, content binary", open_ones), "window-open")
     same = (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest"))
-    members = both.where("side = 1").join(opened.hint("merge"), same & (F.col("id") == F.col("least")))
-    members = members.select("key", "digest", "id", (F.col("last") - F.col("first") + 1).alias("total"), "many", "several", "anchor", "content")
+    rep = same & (F.col("id") == F.col("least"))
+    members = both.where("side = 1").join(met.hint("merge"), rep)
+    members = members.select("key", "digest", "id", (F.col("last") - F.col("first") + 1).alias("total"), "many", "anchor", "content")
     members = staged(_cores(members, plan), "window-members")
     hot = staged(members.groupBy(F.col("core").alias("h_core")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("h_core"), "window-hot")
     if hot.isEmpty():
@@ -205,7 +205,9 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
     else:
         match = F.col("core") == F.col("h_core")
         fine = _by_kernel(members.join(hot.hint("merge"), match, "left_anti"), plan).unionAll(_by_window(members.join(hot.hint("merge"), match, "left_semi"), plan))
-    fine = staged(fine, "window-fine")
+    own = both.where("side = 2").join(lone.hint("merge"), rep).where("many")
+    own = own.select("key", "digest", F.col("anchor").alias("total"), F.lit(plan.earlier).alias("later"), F.col("first").alias("lo"), F.col("last").alias("hi"))
+    fine = staged(fine.unionAll(own), "window-fine")
 
     # Kinds that the kernel found repeated from end to end; any other copy is left to the join.
     ends = fine.where("later") if plan.earlier else fine
@@ -277,8 +279,32 @@ def _unit_bounds(content: bytes, words: bool) -> tuple[list[int], int]:
     return at, 1
 
 
+def _lone_runs(units: Units, plan: Plan, first: np.ndarray, last: np.ndarray, row: np.ndarray, name: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the kernel says of the stretches ``at``, each of which stands for several copies: stretch, first and last window of each run.
+
+    Stretches that follow each other in a text go as one content.
+    """
+    at = at[np.sort(np.unique(name[at], return_index=True)[1])]
+    none = np.zeros(0, np.int64)
+    if not len(at):
+        return none, none, none
+    cut = np.flatnonzero((first[at[1:]] != last[at[:-1]] + 1) | (row[at[1:]] != row[at[:-1]])) + 1
+    heads, tails = at[np.concatenate([[0], cut])], at[np.concatenate([cut, [len(at)]]) - 1]
+    n = len(heads)
+    windows = [first[heads[member]] + offsets for member, later, offsets in plan.kernel(units.cut(first[heads], last[tails] + plan.size), np.arange(n), np.arange(n), np.ones(n, bool), plan.size) if later == plan.earlier]
+    if not windows:
+        return none, none, none
+    place = np.sort(np.concatenate(windows))
+    owner = np.searchsorted(first[at], place, "right") - 1
+    new = np.concatenate([[True], (np.diff(place) > 1) | (np.diff(owner) > 0)])
+    begin = np.flatnonzero(new)
+    end = np.concatenate([begin[1:], [len(place)]]) - 1
+    own = at[owner[begin]]
+    return own, place[begin] - first[own], place[end] - first[own]
+
+
 def _cores(members: DataFrame, plan: Plan) -> DataFrame:
-    """MEMBER rows: whole stretches by their key, or halves by the digest of a core, where an anchor has several kinds.
+    """MEMBER rows: halves of stretches by the digest of a core.
 
     A window that starts by ``half`` units or more before the anchor contains the units from there to the anchor's end;
     any other contains those from the anchor to the end of the foremost of them.
@@ -289,10 +315,7 @@ def _cores(members: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, digest, id_, total, many, several, r, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not several:
-                    out.append((key, key, digest, id_, total, many, 0, content))
-                    continue
+            for key, digest, id_, total, many, r, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at, gap = _unit_bounds(content, plan.words)
                 for salt, a, b, lo, hi in ((b"1", 0, min(total - 1, r - half), r - half, r + gram), (b"2", max(0, r - half + 1), total - 1, r, r - half + 1 + size)):
                     if a <= b:
