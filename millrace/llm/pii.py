@@ -1,13 +1,15 @@
 """Personal data by fixed patterns and a linear-chain conditional random field.
 
-The patterns (email, ip, card, phone) give the base spans. The random field reads the words of each
-sentence as shapes (bucketed counts of digits, dots, hyphens and so on, for a word and its two
+The patterns (email, ip, card, phone) give the base spans. The random field reads words as shapes (bucketed
+counts of digits, dots, hyphens and so on, and whether a word is a bracketed "at" or "dot"; for a word and its two
 neighbours), is trained from a small labelled table by gradient ascent on the likelihood, and is
 decoded by Viterbi for all sentences of a block at once in numpy. A run of words with one label is a
-span; it is added where the kind's check holds (digits, Luhn, parts) and no base span overlaps it.
+span; it is added where the kind's check holds (digits, parts) and no base span overlaps it. It thus finds what the
+patterns cannot: national telephone numbers, written-out addresses ("jo (at) host (dot) org"), addresses with
+bracketed dots, and card numbers that are separated by other signs or have a wrong check digit.
 
-Sentences made of plain words only differ in nothing but their length; each length is decoded once.
-Everything happens in the task that reads the documents; nothing is shuffled.
+A word of letters only, four or more words away from any other in its sentence, has no label; the rest of a sentence
+is decoded. Everything happens in the task that reads the documents; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -95,11 +97,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- shapes -------------------------------------------------------------------------------------
 
 #: Features of a word and their numbers of values; a shape is one code of all of them.
-SIZES = (8, 2, 2, 4, 4, 2, 2)
+SIZES = (10, 2, 2, 4, 4, 2, 3, 3)
 SHAPES = int(np.prod(SIZES))
 _DIGITS = np.zeros(1 << 10, np.int64)
-for _i, _bound in enumerate((1, 4, 5, 9, 12, 20, 40)):
+for _i, _bound in enumerate((1, 4, 5, 9, 12, 15, 17, 20, 40)):
     _DIGITS[_bound:] = _i + 1
+#: Words within so many of one that is not plain are decoded.
+REACH = 4
 _CLASSES = np.zeros((6, 256), np.uint8)  # digit, letter, @, dot, hyphen or bracket, other
 _CLASSES[0, 48:58] = 1
 _CLASSES[1, 65:91] = _CLASSES[1, 97:123] = 1
@@ -121,13 +125,42 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         counts.append((total[edges[1::2]] - total[edges[::2]]).astype(np.int64))
     plus = data[starts] == ord("+")
     dots = counts[3] - (data[ends - 1] == ord("."))
-    parts = (_DIGITS[np.minimum(counts[0], 1023)], counts[1] > 0, counts[2] > 0, np.clip(dots, 0, 3), np.minimum(counts[4], 3), plus, counts[5] - plus > 0)
+    # Signs inside a word tell more than those around it.
+    other = counts[5] - plus
+    inner = (_CLASSES[5][data[starts]] + _CLASSES[5][data[ends - 1]]).astype(np.int64) - plus
+    signs = np.where(other <= 0, 0, np.where((counts[0] > 0) & (other > inner) & ~_ends_in_signs(data, starts, ends, other), 2, 1))
+    parts = (_DIGITS[np.minimum(counts[0], 1023)], counts[1] > 0, counts[2] > 0, np.clip(dots, 0, 3), np.minimum(counts[4], 3), plus, signs, _connectors(data, starts, ends))
     code = np.zeros(len(starts), np.int64)
     for size, part in zip(SIZES, parts, strict=True):
         code = code * size + part
     return code
 
 
+def _ends_in_signs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Words whose signs all stand at their end ("5927!!" or "5927$$$"); three at most are looked at."""
+    n = np.zeros(len(starts), np.int64)
+    run = np.ones(len(starts), bool)
+    for k in range(1, 4):
+        run &= (ends - k > starts) & (_CLASSES[5][data[np.maximum(ends - k, 0)]] > 0)
+        n += run
+    return n >= other
+
+
+def _connectors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """1 for a bracketed "at", 2 for a bracketed "dot", in any case; else 0."""
+    out = np.zeros(len(starts), np.int64)
+    size = ends - starts
+    for code, word in ((1, b"at"), (2, b"dot")):
+        here = np.flatnonzero((size == len(word) + 2) & np.isin(data[starts], _OPEN) & np.isin(data[ends - 1], _CLOSE))
+        for k, letter in enumerate(word):
+            here = here[(data[starts[here] + 1 + k] | 32) == letter]
+        out[here] = code
+    return out
+
+
+_OPEN, _CLOSE = (np.frombuffer(x, np.uint8) for x in (b"([{<", b")]}>"))
+
+
 def _plain_code() -> int:
     return int(shapes(np.frombuffer(b"word", np.uint8), np.array([0]), np.array([4]))[0])
 
@@ -149,7 +182,6 @@ class Field:
 
     def __init__(self, tables: np.ndarray, steps: np.ndarray):
         self.tables, self.steps = tables, steps
-        self.plain: dict[int, np.ndarray] = {}
 
     def emissions(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         out = self.tables[1][codes]
@@ -187,25 +219,30 @@ class Field:
             label[:n] = back[at, label[:n]]
         return out
 
-    def decode(self, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """As viterbi, but sentences of plain words only are looked up by their length."""
-        size = np.diff(cuts)
-        odd = np.concatenate([[0], np.cumsum(codes != _PLAIN)])
-        mixed = odd[cuts[1:]] > odd[cuts[:-1]]
+    def decode(self, codes: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Labels of words in sentences; stop[i] says that a sentence begins at word i (one more than words)."""
+        where, bounds = segments(codes != _PLAIN, stop)
         out = np.zeros(len(codes), np.int64)
-        for n in np.unique(size[~mixed]).tolist():
-            if n not in self.plain:
-                self.plain[n] = self.viterbi(np.full(n, _PLAIN), np.array([0, n])) if n else np.zeros(0, np.int64)
-            if self.plain[n].any():
-                for at in cuts[:-1][~mixed & (size == n)].tolist():
-                    out[at : at + n] = self.plain[n]
-        lengths = size[mixed]
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
-        where = np.repeat(cuts[:-1][mixed] - bounds[:-1], lengths) + np.arange(bounds[-1])
         out[where] = self.viterbi(codes[where], bounds)
         return out
 
 
+def segments(odd: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words within REACH of an odd one of their sentence, and the bounds of their runs."""
+    n = len(odd)
+    at = np.arange(n)
+    sentence = np.cumsum(stop[:n])
+    before = np.maximum.accumulate(np.where(odd, at, -1))
+    after = np.minimum.accumulate(np.where(odd, at, n)[::-1])[::-1]
+    near = (before >= 0) & (at - before <= REACH) & (sentence[before] == sentence)
+    near |= (after < n) & (after - at <= REACH) & (sentence[np.minimum(after, n - 1)] == sentence)
+    where = np.flatnonzero(near)
+    if not len(where):
+        return where, np.zeros(1, np.int64)
+    first = np.concatenate([[True], (np.diff(where) > 1) | stop[where[1:]]])
+    return where, np.concatenate([np.flatnonzero(first), [len(where)]])
+
+
 _PLAIN = _plain_code()
 
 
@@ -255,28 +292,33 @@ def train(rows: list[tuple[list[str], list[str]]], rounds: int = 150, rate: floa
     return Field(np.stack([features @ w[i * f : (i + 1) * f] for i in range(3)]), steps)
 
 
-def labelled_rows(n: int = 400, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled_rows(n: int = 600, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """A small labelled table, made by rule: words around items of each kind, and look-alikes."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("aeioulnrstdm") for _ in range(r.randint(2, 9)))
-
-    def card() -> str:
-        body = digits(15)
-        return next(body + c for c in "0123456789" if luhn(body + c))
+    part = lambda: str(r.randint(0, 255))
 
     def item(kind: str) -> list[str]:
         if kind == "email":
-            return r.choice([[f"{word()}.{digits(2)}@{word()}.example.com"], [f"{word()}@{word()}.org"]])
+            at, dot = r.choice(["(at)", "[at]", "(AT)", "{at}"]), r.choice(["(dot)", "[dot]", "(DOT)", "{dot}"])
+            return r.choice([[f"{word()}.{digits(2)}@{word()}.example.com"], [f"{word()}@{word()}.org"], [word(), at, word(), dot, word()], [f"{word()}{digits(2)}", at, word(), dot, word()], [word(), at, word(), dot, word(), dot, word()]])
         if kind == "ip":
-            return [".".join(str(r.randint(0, 255)) for _ in range(4))]
+            return r.choice([[".".join(part() for _ in range(4))], ["[.]".join(part() for _ in range(4))], [f"{part()}.{part()}.{part()}[.]{part()}"], [f"{part()}[.]{part()}.{part()}.{part()}"]])
         if kind == "card":
-            c = card()
-            return r.choice([[c], [c[:4], c[4:8], c[8:12], c[12:]], ["-".join((c[:4], c[4:8], c[8:12], c[12:]))]])
-        return r.choice([[f"+{digits(2)}", digits(3), digits(7)], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(1)}-{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(11)}"]])
+            c = digits(16)
+            groups = [c[:4], c[4:8], c[8:12], c[12:]]
+            return r.choice([[c], [c], [digits(15)], groups, ["-".join(groups)], [".".join(groups)], ["/".join(groups)], ["_".join(groups)]])
+        return r.choice([[f"+{digits(2)}", digits(3), digits(7)], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"({digits(5)})", digits(6)], [f"{digits(4)}/{digits(7)}"], [f"{digits(3)}.{digits(3)}.{digits(4)}"], [f"+{digits(1)}-{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(11)}"]])
 
     def other() -> list[str]:
-        return r.choice([[f"password={digits(9)}a{digits(6)}"], [f"v{digits(1)}.{digits(1)}.{digits(2)}"], [digits(r.randint(1, 8))], [f"{digits(4)}-{digits(2)}-{digits(2)}"], [f"id:{digits(12)}"], [f"{digits(2)}.{digits(2)}"], [f"{digits(6)}ab{digits(9)}f{digits(5)}"], ["-"], ["(" + word() + ")"], [digits(1), digits(2), digits(3)]])
+        return r.choice(
+            [
+                [f"password={digits(9)}a{digits(6)}"], [f"v{digits(1)}.{digits(1)}.{digits(2)}"], [f"{digits(1)}.{digits(1)}.{digits(2)}"], [digits(r.randint(1, 8))], [f"{digits(4)}-{digits(2)}-{digits(2)}"], [f"{digits(2)}/{digits(2)}/{digits(4)}"],
+                [f"id:{digits(12)}"], [f"id={digits(16)}"], [digits(r.choice([9, 10, 11, 12, 13, 18, 19, 22]))], [f"{digits(2)}.{digits(2)}"], [f"{digits(1)}.{digits(1)}."], [f"{digits(6)}ab{digits(9)}f{digits(5)}"], [f'"{digits(9)}c{digits(9)}e{digits(12)}"'],
+                ["-"], ["(" + word() + ")"], ["[" + word() + "]"], [digits(1), digits(2), digits(3)], [f"{digits(4)}-{digits(4)}"], [f"{digits(2)}:{digits(2)}:{digits(2)}"], ["(dot)"], ["(at)"], [f"{digits(1)},{digits(3)},{digits(3)}"], ["|"], [word() + r.choice(["!!", "$$$", "###", "***"])],
+            ]
+        )
 
     rows = []
     for i in range(n):
@@ -286,24 +328,40 @@ def labelled_rows(n: int = 400, seed: int = 5) -> list[tuple[list[str], list[str
             words += plain
             labels += ["O"] * len(plain)
             kind = r.choice(LABELS) if i % 4 else "O"
-            part = other() if kind == "O" else item(kind)
-            words += part
-            labels += [kind] * len(part)
+            part_ = other() if kind == "O" else item(kind)
+            part_[-1] += r.choice(["", "", "", ",", ";", "!!", "$$$"]) if kind == "card" or i % 3 == 0 else ""
+            words += part_
+            labels += [kind] * len(part_)
         words[-1] += r.choice(["", ".", ","])
         rows.append((words, labels))
     return rows
 
 
+_WRITTEN_AT = re.compile(r"(?i)[\[({<]at[\])}>]")
+_WRITTEN_DOT = re.compile(r"(?i)[\[({<]dot[\])}>]")
+
+
 def _checked(kind: str, text: str) -> bool:
     d = _digits(text)
     if kind == "email":
-        return "@" in text and "." in text
+        return ("@" in text or bool(_WRITTEN_AT.search(text))) and ("." in text or bool(_WRITTEN_DOT.search(text)))
+    if any(c.isalpha() for c in text):
+        return False
     if kind == "ip":
         parts = [p for p in re.split(r"[^0-9]+", text) if p]
-        return len(parts) >= 4 and all(int(p[:4]) <= 255 for p in parts[:4])
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 12 <= len(d) <= 19 and luhn(d)
-    return 9 <= len(d) <= 15 and not any(c.isalpha() for c in text)
+        return 15 <= len(d) <= 16
+    return 9 <= len(d) <= 15
+
+
+#: Signs around a span that are no part of it.
+_AROUND = ".,;:!?\"'$%&*#|<>`~="
+def _span(kind: str, raw: bytes, start: int, end: int) -> tuple[int, int] | None:
+    """Offset and length in code points of what is left of a piece without the signs around it, if it holds the kind's check."""
+    piece = raw[start:end].decode()
+    text = piece.strip(_AROUND)
+    return (piece.index(text), len(text)) if text and _checked(kind, text) else None
 
 
 _SENTENCE_END = np.zeros(256, bool)
@@ -314,7 +372,7 @@ def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None, id_co
     """id_col and spans (array of kind, start, end, base), ascending; a row for each input row.
 
     start and end count code points. Null and empty texts have no spans; rows may repeat and ids may
-    be null. ``labelled`` (words and labels, arrays of strings, at most MAX_LABELLED rows are read;
+    be null; other columns are not read; an empty table gives an empty result. ``labelled`` (words and labels, arrays of strings, at most MAX_LABELLED rows are read;
     rows with a null, unequal lengths or unknown labels are skipped) replaces the built-in table.
     """
     rows = labelled_rows()
@@ -336,7 +394,7 @@ def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None, id_co
                 stop = np.zeros(len(starts) + 1, bool)
                 stop[1:] = _SENTENCE_END[data[ends - 1]] if len(ends) else False
                 stop[rows] = True
-                labels = field.decode(codes, np.flatnonzero(stop)) if len(starts) else codes
+                labels = field.decode(codes, stop) if len(starts) else codes
                 tagged = np.flatnonzero(labels)
                 if len(tagged):
                     new = np.ones(len(tagged), bool)
@@ -345,15 +403,16 @@ def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None, id_co
                     tails = np.concatenate([heads[1:], [len(tagged)]]) - 1
                     for x, y in zip(tagged[heads].tolist(), tagged[tails].tolist(), strict=True):
                         row = int(np.searchsorted(rows, x, "right")) - 1
-                        piece = raw[starts[x] : ends[y]].decode()
-                        text = piece.strip(".,;:!?\"'")
                         name = LABELS[labels[x]]
-                        if not text or not _checked(name, text):
-                            continue
-                        a = len(raw[cuts[row] : starts[x]].decode()) + piece.index(text)
-                        b = a + len(text)
-                        if all(b <= s[0] or a >= s[2] for s in spans[row] if s[3]):
-                            spans[row].append((a, labels[x] - 1, b, False))
+                        # A run that fails the check may be several spans of a word each.
+                        for p, q in [(x, y)] if (whole := _span(name, raw, starts[x], ends[y])) or x == y else [(i, i) for i in range(x, y + 1)]:
+                            span = whole or _span(name, raw, starts[p], ends[q])
+                            if span is None:
+                                continue
+                            a = len(raw[cuts[row] : starts[p]].decode()) + span[0]
+                            b = a + span[1]
+                            if all(b <= s[0] or a >= s[2] for s in spans[row] if s[3]):
+                                spans[row].append((a, labels[x] - 1, b, False))
                 flat = [s for row in spans for s in sorted(row)]
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in spans])])
                 items = pa.StructArray.from_arrays(
