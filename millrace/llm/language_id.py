@@ -1,10 +1,12 @@
 """Language identification by Bayesian evidence fusion.
 
 For each language l the log posterior of a document adds
-  the text's log likelihood under byte-trigram models (one for each declared language, counted over
-  all documents, and a flat one, ``und``, for text in none of them),
+  the text's log likelihood under byte-trigram models (one for each labelled language, counted over
+  all labelled rows, and a flat one, ``und``, for text in none of them),
   log P(declared markup language | l) and log P(address suffix | l), and
   a host prior, smoothed hierarchically: host towards suffix, suffix towards the whole corpus.
+The query takes documents (labels train the models; the source is the host) and pages (markup language, suffix and
+host come from html and url; they have no labels) as one table.
 The tables behind the last three are grouped aggregations of the text-only decisions over all rows.
 The likelihood of a long text is tempered (its weight levels off at ``full_weight`` trigrams), so
 that text cannot drown all other evidence and neighbouring trigrams do not count as independent.
@@ -113,18 +115,20 @@ def _table(scores: DataFrame, keys: list[str], n: int) -> DataFrame:
     return scores.groupBy(*keys).agg(F.array(*sums).alias("rows"))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", suffix_col: str | None = None, host_col: str | None = "source", full_weight: float = FULL_WEIGHT) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", suffix_col: str | None = None, host_col: str | None = "source", label_col: str | None = None, full_weight: float = FULL_WEIGHT) -> DataFrame:
     """id_col, language, posterior, text_language, n_trigrams and kept, a row for each input row.
 
-    Columns that are None or hold null give no evidence. ``kept`` is false where ``und`` is the
+    Columns that are None or hold null give no evidence. label_col names the language that a row's text trains
+    (declared_col, if it is not given) and is no evidence itself. id_col may be of any type. Every labelled language has a model; other
+    columns are not read. ``kept`` is false where ``und`` is the
     likeliest: texts without letters (null and empty ones, too) and texts in none of the declared
     languages. Ties go to the alphabetically first language. An empty table gives an empty result;
     if no row declares a language, all are ``und``. Rows may repeat; ids may be null.
     """
-    names, logs = train(docs, text_col, declared_col)
+    names, logs = train(docs, text_col, label_col or declared_col)
     weights = docs.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
     n = len(names)
-    kind = dict(docs.dtypes)[id_col]
+    kind = docs.schema[id_col].dataType.simpleString()
     part = lambda c: F.lower(F.col(c).cast("string")) if c else F.lit(None).cast("string")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +232,18 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return pages.select(F.col(id_col), text.alias("text"), void(declared).alias("declared"), void(F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1)).alias("suffix"), void(host).alias("host"))
 
 
+def evidence(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Both tables as rows of id (doc_id or page_id), text, label, declared, suffix and host."""
+    ident = lambda doc, page: F.struct(doc.cast("long").alias("doc_id"), page.cast("long").alias("page_id")).alias("id")
+    none = F.lit(None).cast("string")
+    found = page_evidence(pages)
+    return documents.select(ident(F.col("doc_id"), F.lit(None)), F.col("text").cast("string"), F.col("lang").cast("string").alias("label"), none.alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host")).unionAll(
+        found.select(ident(F.lit(None), F.col("page_id")), "text", none.alias("label"), "declared", "suffix", "host")
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each document; its source takes the host's part."""
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Language of each document and each page: doc_id or page_id (the other is null) and identify's columns."""
+    rows = evidence(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    out = identify(rows, "id", "text", "declared", "suffix", "host", "label")
+    return out.select("id.doc_id", "id.page_id", *out.columns[1:])
