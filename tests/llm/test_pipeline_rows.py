@@ -1,0 +1,92 @@
+"""The pipeline on awkward tables: clashing names, null and repeated ids, empty tables, brute force over all stages."""
+
+import random
+import re
+
+import corpus_pipeline
+import sentencepiece
+from pyspark.sql import functions as F
+
+from millrace.llm import _scratch
+from millrace.llm.sentencepiece_codec import model_path
+
+R = random.Random(21)
+VOCABULARY = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 7))) for _ in range(400)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bad_id int, id string, rest int, same string, named long"
+
+
+def prose(n):
+    return " ".join(R.choice(VOCABULARY) for _ in range(n))
+
+
+def write(spark, path, rows, items):
+    spark.createDataFrame([(*r, "en", "s", 0, 1, "x", 2, "y", 3) for r in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def survivors(rows, leaks):
+    """By brute force: texts with letters, the first of equal ones, the first of near ones (links here are no chains), no leak."""
+    rows = sorted((i, t) for i, t in rows if t and re.search("[a-z]", t))
+    first = {}
+    for i, t in rows:
+        first.setdefault(" ".join(t.split()), i)
+    rows = [(i, t) for i, t in rows if first[" ".join(t.split())] == i]
+    kept = []
+    for i, t in rows:
+        if all(jaccard(t, u) < 0.75 for _, u in kept):
+            kept.append((i, t))
+    return {i: t for i, t in kept if not any(leak in t for leak in leaks)}
+
+
+def test_rows_and_columns(spark, tmp_path):
+    leaks = [prose(30) for _ in range(3)]
+    rows = [(i, prose(90)) for i in range(40)]
+    rows += [(40 + i, rows[i][1].replace(" ", "  ", 2)) for i in range(5)]  # equal up to white space
+    rows += [(50 + i, rows[10 + i][1] + " end") for i in range(5)]  # near
+    rows += [(60 + i, prose(40) + " " + leak + " " + prose(9)) for i, leak in enumerate(leaks)]
+    rows += [(70, None), (71, ""), (72, "123 456"), (73, " ")]
+    write(spark, tmp_path, rows, [(i, t) for i, t in enumerate(leaks)] + [(None, rows[0][1]), (9, None)])
+    model = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    out = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    want = survivors(rows, leaks)
+    assert set(out) == set(want) == set(range(40))
+    for i, t in want.items():
+        ids = model.encode(t, add_eos=True)
+        assert list(out[i].ids) == ids and out[i].decoded == model.decode(ids)
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    a, b = prose(60), prose(60)
+    write(spark, tmp_path, [(None, a), (1, a), (2, b), (2, b), (3, a), (None, None), (4, prose(60)), (4, prose(60))], [(0, prose(30))])
+    got = sorted((x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([None, None, 1, 2, 2, 4, 4], key=str)
+
+
+def test_each_stage_keeps_the_columns(spark, tmp_path):
+    write(spark, tmp_path, [(i, prose(60)) for i in range(6)], [(0, prose(30))])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 6, name
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_own_tables_are_deleted(spark):
+    """Those staged in a scope, and no others."""
+    kept = _scratch.staged(spark.range(3), "kept")
+    with _scratch.temporary(spark):
+        gone = _scratch.staged(spark.range(4).withColumn("x", F.lit(1)), "gone")
+        path = gone.inputFiles()[0]
+        assert gone.count() == 4
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://")) and kept.count() == 3
