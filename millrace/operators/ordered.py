@@ -6,26 +6,24 @@ from collections.abc import Callable, Iterable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.stream import Stream, cell
-
-_FOLDS = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
-
+from millrace.plans.prefix import scan
 
 def accumulate(stream: Stream, value: Column | str, zero: Any = None, how: str = "sum", out: str = "acc") -> DataFrame:
     """Running fold; the first output already holds the first element.
 
-    how is sum, max, min or count (associative folds, planned as one window); ``zero`` joins the fold.
+    how is sum, max, min or count (associative folds, planned as one window or prefix scan); ``zero`` joins the fold.
     An empty stream gives an empty result.
     """
     value = F.col(value) if isinstance(value, str) else value
-    acc = _FOLDS[how](value).over(stream.running())
-    if zero is not None:
-        zero = F.lit(zero)
-        acc = zero + acc if how in ("sum", "count") else (F.greatest if how == "max" else F.least)(zero, acc)
-    return stream.df.withColumn(out, acc)
+    df = stream.scan(**{out: (how, value)}).df
+    if zero is None:
+        return df
+    acc, zero = F.col(out), F.lit(zero)
+    return df.withColumn(out, zero + acc if how in ("sum", "count") else (F.greatest if how == "max" else F.least)(zero, acc))
 
 
 def accumulate_with(stream: Stream, value: str, zero: Any, fold: Callable[[Any, Any], Any], out_type: str, out: str = "acc") -> DataFrame:
@@ -50,19 +48,21 @@ def runs(stream: Stream, unchanged: Column | str, max_duration_us: int | None =
     A run ends where the property changes (nulls are equal) and, with max_duration_us, at each tick of
     the grid of that interval over the arrival times.
     """
-    w = stream.window()
     prop = F.col(unchanged) if isinstance(unchanged, str) else unchanged
     df = stream.df.withColumn("_prop", prop)
-    changed = F.row_number().over(w) == 1
-    changed = changed | ~F.col("_prop").eqNullSafe(F.lag("_prop").over(w))
+    parts = ["_prop"]
     if max_duration_us is not None:
         if max_duration_us <= 0 or stream.arrival is None:
             raise ValueError("max_duration_us must be positive and needs arrival times")
         df = df.withColumn("_cell", cell(stream.arrival, max_duration_us))
-        changed = changed | ~F.col("_cell").eqNullSafe(F.lag("_cell").over(w))
-    df = df.withColumn("_new", changed.cast("long"))
-    df = df.withColumn("_run", F.sum("_new").over(stream.running()))
-    return df.withColumn("_place", (F.row_number().over(stream.window("_run")) - 1).cast("long"))
+        parts.append("_cell")
+    found = stream.having(df).scan(_before=("lag", F.struct(*parts)), _rn=("count", F.lit(1)))
+    changed = F.col("_before").isNull()
+    for p in parts:
+        changed = changed | ~F.col(p).eqNullSafe(F.col(f"_before.value.{p}"))
+    found = found.having(found.df.withColumn("_new", changed.cast("long")))
+    found = found.scan(_run=("sum", F.col("_new")), _start=("max", F.when(F.col("_new") == 1, F.col("_rn"))))
+    return found.df.withColumn("_place", F.col("_rn") - F.col("_start")).drop("_before", "_rn", "_start")
 
 
 def accumulate_while_unchanged(stream: Stream, unchanged: Column | str, element: Column | str, max_elements: int | None = None, max_duration_us: int | None = None) -> DataFrame:
@@ -90,22 +90,21 @@ def sample_nth(stream: Stream, nth: int) -> DataFrame:
 def sample_steps(stream: Stream, steps: DataFrame) -> DataFrame:
     """Elements at the running sums of a table (step_no, step) of positive steps."""
     bad = F.when(F.col("step").isNull() | (F.col("step") < 1), F.raise_error(F.lit("a sampling step must be positive"))).otherwise(F.col("step"))
-    w = Window.orderBy("step_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    places = steps.select(F.sum(bad.cast("long")).over(w).alias("_pos"))
+    places = scan(steps.select("step_no", bad.cast("long").alias("step")), "step_no", {"_pos": ("sum", F.col("step"))}).select("_pos")
     return stream.position("_rn").df.join(places, F.col("_rn") == F.col("_pos"), "left_semi").drop("_rn")
 
 
 def sample_random(stream: Stream, max_step: int = 1000, seed: int = 0) -> DataFrame:
     """Elements with gaps that are uniform in 1..max_step, reproducible by seed.
 
-    The decision is local to a row and its successor in a key: gaps come from a hash of the gap's
-    number, and their running sum is taken over a table that grows with the longest key only.
+    Gap k is a digest of seed and k. There are no more gaps than positions in the longest key, so the table of gaps comes
+    from those, and its running sum is a prefix scan.
     """
     if max_step < 1:
         raise ValueError("max_step must be positive")
     rows = stream.position("_rn").df
-    longest = rows.agg(F.max("_rn")).first()[0] or 0
-    steps = stream.df.sparkSession.range(1, longest + 1).select(F.col("id").alias("step_no"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max_step)) + 1).alias("step"))
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("step_no").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    steps = rows.select(F.col("_rn").alias("step_no")).distinct().withColumn("step", digest % max_step + 1)
     return sample_steps(stream, steps)
 
 
@@ -116,7 +115,6 @@ def last_element(stream: Stream, value: Iterable[str], ok: str | None = None) ->
     """
     df = stream.df
     if ok:
-        failed = F.max(F.when(~F.col(ok), 1).otherwise(0)).over(stream.running())
-        df = df.withColumn("_failed", failed).where("_failed = 0")
+        df = stream.scan(_failed=("max", F.when(~F.col(ok), 1).otherwise(0))).df.where("_failed = 0")
     last = df.groupBy(*stream.by).agg(F.max_by(F.struct(*value), F.col(stream.order_by)).alias("_last"))
     return last.select(*stream.by, *[F.col(f"_last.{v}").alias(v) for v in value])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.prefix import global_running
+from millrace.plans.prefix import global_running, scan
 
 
 def partition_with(df: DataFrame, left_if: Column, left: Sequence[Column], right: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
@@ -63,14 +63,15 @@ def merge_by_index(inputs: Sequence[DataFrame], index: str, order_by: str) -> Da
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    # Within an input: after the largest index so far. Each range of the global order is checked on its own.
-    lag = F.lag(index).over(Window.partitionBy("_input").orderBy(order_by))
-    bad = F.col(index).isNull() | (F.col(index) < 0) | (lag >= F.col(index))
+    # Within an input: after the index before. Inputs are few; their order is dealt into ranges, too.
+    union = scan(union, order_by, {"_last": ("lag", F.col(index))}, groups=["_input"])
+    bad = F.col(index).isNull() | (F.col(index) < 0) | (F.col("_last.value") >= F.col(index))
     union = union.withColumn("_ok", F.when(bad, F.raise_error(F.lit("the index of an input must rise from 0 or more"))).otherwise(F.lit(True)))
-    merged = global_running(union, index, position="emit_position")
-    twin = F.lag(index).over(Window.partitionBy(F.col(index)).orderBy(order_by))
-    merged = merged.withColumn("_once", F.when(twin.isNotNull(), F.raise_error(F.lit("an index occurs twice"))).otherwise(F.lit(True)))
-    return merged.where("_ok and _once").drop("_input", "_ok", "_once")
+    # Equal indexes are neighbours in the global order.
+    merged = scan(union, index, {"emit_position": ("count", F.lit(1)), "_last": ("lag", F.col(index))})
+    twice = F.col("_last.value") == F.col(index)
+    merged = merged.withColumn("_once", F.when(twice, F.raise_error(F.lit("an index occurs twice"))).otherwise(F.lit(True)))
+    return merged.where("_ok and _once").drop("_input", "_last", "_ok", "_once")
 
 
 def flattened(df: DataFrame, items: str, out: str = "item") -> DataFrame:

@@ -30,8 +30,9 @@ def delay_by(stream: Stream, delay_us: Column | str, out: str = "emit_us") -> Da
     a = F.col(_arrivals(stream))
     d = F.col(delay_us) if isinstance(delay_us, str) else delay_us
     df = stream.df.withColumn("_d", F.greatest(F.coalesce(d, F.lit(0)).cast("long"), F.lit(0)))
-    df = df.withColumn("_sum", F.sum("_d").over(stream.running()))
-    return df.withColumn(out, F.col("_sum") + F.max(a - (F.col("_sum") - F.col("_d"))).over(stream.running())).drop("_d", "_sum")
+    found = stream.having(df).scan(_sum=("sum", F.col("_d")))
+    found = found.scan(_late=("max", a - (F.col("_sum") - F.col("_d"))))
+    return found.df.withColumn(out, F.col("_sum") + F.col("_late")).drop("_d", "_sum", "_late")
 
 
 def delay_fixed(stream: Stream, delay_us: int, out: str = "emit_us") -> DataFrame:
@@ -46,13 +47,12 @@ def delay_linear(stream: Stream, step_us: int, grows: Column | str, initial_us:
     if step_us <= 0 or (max_us is not None and max_us <= initial_us):
         raise ValueError("step_us must be positive and max_us above initial_us")
     flag = F.coalesce(F.col(grows) if isinstance(grows, str) else grows, F.lit(False))
-    df = stream.df.withColumn("_flag", flag.cast("long"))
-    df = df.withColumn("_island", F.sum(1 - F.col("_flag")).over(stream.running()))
-    k = F.sum("_flag").over(stream.running("_island"))
-    d = initial_us + k * step_us
+    found = stream.having(stream.df.withColumn("_flag", flag.cast("long"))).scan(_trues=("sum", F.col("_flag")))
+    found = found.scan(_reset=("max", F.when(F.col("_flag") == 0, F.col("_trues"))))
+    d = initial_us + (F.col("_trues") - F.coalesce("_reset", F.lit(0))) * step_us
     d = F.least(d, F.lit(max_us)) if max_us is not None else d
-    df = df.withColumn("delay_us", F.when(F.col("_flag") == 1, d).otherwise(F.lit(initial_us)).cast("long"))
-    return delay_by(stream.having(df), "delay_us", out).drop("_flag", "_island")
+    df = found.df.withColumn("delay_us", F.when(F.col("_flag") == 1, d).otherwise(F.lit(initial_us)).cast("long"))
+    return delay_by(stream.having(df), "delay_us", out).drop("_flag", "_trues", "_reset")
 
 
 def delay_strategy(stream: Stream, strategy: Callable[[], Callable[[dict], int]], out: str = "emit_us") -> DataFrame:
@@ -75,9 +75,10 @@ def delay_strategy(stream: Stream, strategy: Callable[[], Callable[[dict], int]]
 def pulse(stream: Stream, interval_us: int, initially_open: bool = False, out: str = "emit_us") -> DataFrame:
     """One element a tick, none lost; initially open, the first passes at once."""
     a = F.col(_arrivals(stream))
-    df = stream.position("_rn").df.withColumn("_c", cell(stream.arrival, interval_us))
-    tick = F.col("_rn") + F.greatest(F.max(F.col("_c") - F.col("_rn")).over(stream.running()), F.lit(-1 if initially_open else 0))
-    return df.withColumn(out, F.greatest(a, tick * interval_us)).drop("_rn", "_c")
+    found = stream.position("_rn")
+    found = found.scan(_late=("max", cell(stream.arrival, interval_us) - F.col("_rn")))
+    tick = F.col("_rn") + F.greatest(F.col("_late"), F.lit(-1 if initially_open else 0))
+    return found.df.withColumn(out, F.greatest(a, tick * interval_us)).drop("_rn", "_late")
 
 
 def time_window_tumbling(df: DataFrame, ts: str, by: list[str], width: str, **aggregates: Column) -> DataFrame:

@@ -3,26 +3,35 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's part of ``spark.checkpoint.dir``; a local folder where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+    return f"{root.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to and read from ``spark.checkpoint.dir`` (a local folder only where that is unset)."""
+    """df written to and read from the shared folder."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
-    path = f"{root.rstrip('/')}/millrace/loop-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all tables that this package has left below the shared folder.
+    """Delete all tables that this application has left in the shared folder.
 
     For the end of a job: results that are not written yet may still read them.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/millrace")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
