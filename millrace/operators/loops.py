@@ -8,6 +8,8 @@ a shrinking frontier whose lineage is cut in every round.
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -17,10 +19,35 @@ from pyspark.sql import DataFrame
 
 from millrace.plans.checkpoints import cut
 
-RETRY_TIMEOUT_S = 5.0
 _BATCH = 4096
 
 
+def _within(call: Callable[[Any], Any], seconds: float | None) -> Callable[[Any], Any]:
+    """The call, failing with TimeoutError when it takes longer; a call that hangs stays behind in a daemon thread."""
+    if seconds is None:
+        return call
+
+    def timed(x: Any) -> Any:
+        answer: queue.SimpleQueue = queue.SimpleQueue()
+
+        def run() -> None:
+            try:
+                answer.put((True, call(x)))
+            except BaseException as e:  # noqa: BLE001 - raised again where it is awaited
+                answer.put((False, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            good, got = answer.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no answer within {seconds} s") from None
+        if good:
+            return got
+        raise got
+
+    return timed
+
+
 def _frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     for row in rows:
@@ -32,12 +59,13 @@ def _frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=names, dtype=object)
 
 
-def unfold_flow_with(seeds: DataFrame, seed: str, step: Callable[[Any], tuple[Any, Any] | None], element_type: str, max_steps: int = 1_000_000) -> DataFrame:
+def unfold_flow_with(seeds: DataFrame, seed: str, step: Callable[[Any], tuple[Any, Any] | None], element_type: str, max_steps: int = 1_000_000, timeout_s: float | None = None) -> DataFrame:
     """(seed, step, element) of state -> (next state, element), until None; lazy within a batch.
 
-    A chain of more than max_steps fails. Null seeds give no rows.
+    A chain of more than max_steps fails, and so does a step that takes longer than timeout_s. Null seeds give no rows.
     """
     kind = dict(seeds.dtypes)[seed]
+    step = _within(step, timeout_s)
 
     def chains(values: Iterable[Any]) -> Iterator[tuple]:
         for first in values:
@@ -56,7 +84,7 @@ def unfold_flow_with(seeds: DataFrame, seed: str, step: Callable[[Any], tuple[An
     return seeds.select(seed).mapInPandas(run, f"seed {kind}, step long, element {element_type}")
 
 
-def unfold_flow(seeds: DataFrame, seed: str, flow: Callable[[Any], tuple[Any, Any]], element_type: str, max_steps: int = 1_000_000) -> DataFrame:
+def unfold_flow(seeds: DataFrame, seed: str, flow: Callable[[Any], tuple[Any, Any]], element_type: str, max_steps: int = 1_000_000, timeout_s: float | None = None) -> DataFrame:
     """As unfold_flow_with, but the flow ends the chain by raising StopIteration; its value, if any, is a last element."""
 
     def step(state: Any) -> tuple[Any, Any] | None:
@@ -67,7 +95,7 @@ def unfold_flow(seeds: DataFrame, seed: str, flow: Callable[[Any], tuple[Any, An
         except StopIteration as end:
             return None if end.value is None else (_Ended(), end.value)
 
-    return unfold_flow_with(seeds, seed, step, element_type, max_steps)
+    return unfold_flow_with(seeds, seed, step, element_type, max_steps, timeout_s)
 
 
 class _Ended:
@@ -77,16 +105,15 @@ class _Ended:
 def unfold_sql(seeds: DataFrame, seed: str, next_state: str, goes_on: str, max_steps: int = 1000) -> DataFrame:
     """(seed, step, element) by a recursive query: elements while ``goes_on`` holds of ``state``; SQL expressions.
 
-    For few seeds; the engine bounds the rows of a recursion.
+    The engine fails a recursion of more than spark.sql.cteRecursionRowLimit rows.
     """
-    spark, view = seeds.sparkSession, f"_seeds_{id(seeds)}"
     kind = dict(seeds.dtypes)[seed]
-    seeds.createOrReplaceTempView(view)
-    return spark.sql(
+    return seeds.sparkSession.sql(
         f"WITH RECURSIVE chain(seed, step, state) MAX RECURSION LEVEL {max_steps} AS ("
-        f" SELECT {seed}, 1L, {seed} FROM {view} WHERE {seed} IS NOT NULL"
+        f" SELECT {seed}, 1L, {seed} FROM {{seeds}} WHERE {seed} IS NOT NULL"
         f" UNION ALL SELECT seed, step + 1L, CAST({next_state} AS {kind}) FROM chain WHERE {goes_on})"
-        f" SELECT seed, step, state AS element FROM chain WHERE {goes_on}"
+        f" SELECT seed, step, state AS element FROM chain WHERE {goes_on}",
+        seeds=seeds,
     )
 
 
@@ -128,14 +155,14 @@ def feedback_each(df: DataFrame, value: str, forward: Callable[[Any], tuple[list
 
     def loops(values: Iterable[Any]) -> Iterator[tuple]:
         for source in values:
-            queue, steps, order = deque([source]), 0, 0
-            while queue:
+            waiting, steps, order = deque([source]), 0, 0
+            while waiting:
                 steps += 1
                 if steps > max_steps:
                     raise RuntimeError(f"no end after {max_steps} steps from {source!r}")
-                out, back = forward(queue.popleft())
-                queue.extend(back)
-                if len(queue) > feedback_buffer_size:
+                out, back = forward(waiting.popleft())
+                waiting.extend(back)
+                if len(waiting) > feedback_buffer_size:
                     raise OverflowError("the feedback buffer is full")
                 for x in out:
                     order += 1
@@ -148,13 +175,15 @@ def feedback_each(df: DataFrame, value: str, forward: Callable[[Any], tuple[list
     return df.select(value).mapInPandas(run, f"source {kind}, emit_order long, element {out_type}")
 
 
-def retry(df: DataFrame, key: str, value: str, state: str, flow: Callable[[Any], Any], retry_with: Callable[[Any], tuple[Any, Any] | None], result_type: str, max_attempts: int = 1000) -> DataFrame:
+def retry(df: DataFrame, key: str, value: str, state: str, flow: Callable[[Any], Any], retry_with: Callable[[Any], tuple[Any, Any] | None], result_type: str, max_attempts: int = 1000, timeout_s: float | None = None) -> DataFrame:
     """(key, ok, result, error, state, attempts): the flow's success, or its last failure.
 
-    A failed element (the flow raised) is tried again with retry_with(state) = (value, state), until
-    that is None. More than max_attempts fail the query.
+    A failed element (the flow raised, or took longer than timeout_s) is tried again with retry_with(state) = (value,
+    state), until that is None. More than max_attempts fail the query. Also for streams: elements do not depend on
+    each other.
     """
     kinds = dict(df.dtypes)
+    flow = _within(flow, timeout_s)
 
     def one(x: Any, s: Any) -> tuple:
         for attempt in range(1, max_attempts + 1):
@@ -176,18 +205,19 @@ def retry(df: DataFrame, key: str, value: str, state: str, flow: Callable[[Any],
     return df.select(key, value, state).mapInPandas(run, f"key {kinds[key]}, ok boolean, result {result_type}, error string, state {kinds[state]}, attempts long")
 
 
-def retry_concat(df: DataFrame, key: str, value: str, state: str, flow: Callable[[Any], Any], retry_with: Callable[[Any], list[tuple[Any, Any]] | None], result_type: str, retries_limit: int, max_attempts: int = 1_000_000) -> DataFrame:
+def retry_concat(df: DataFrame, key: str, value: str, state: str, flow: Callable[[Any], Any], retry_with: Callable[[Any], list[tuple[Any, Any]] | None], result_type: str, retries_limit: int, max_attempts: int = 1_000_000, timeout_s: float | None = None) -> DataFrame:
     """(key, emit_order, ok, result, error, state): a failure may become many new elements, or none.
 
     retry_with(state) gives a list that is tried next, in order, before other input; None passes the
-    failure on. A list that does not fit into retries_limit fails the query.
+    failure on. A list that does not fit into retries_limit fails the query. A call that takes longer than timeout_s failed.
     """
     kinds = dict(df.dtypes)
+    flow = _within(flow, timeout_s)
 
     def one(x: Any, s: Any) -> Iterator[tuple]:
-        queue, order, attempts = deque([(x, s)]), 0, 0
-        while queue:
-            x, s = queue.popleft()
+        waiting, order, attempts = deque([(x, s)]), 0, 0
+        while waiting:
+            x, s = waiting.popleft()
             attempts += 1
             if attempts > max_attempts:
                 raise RuntimeError(f"no end after {max_attempts} attempts")
@@ -196,9 +226,9 @@ def retry_concat(df: DataFrame, key: str, value: str, state: str, flow: Callable
             except Exception as e:  # noqa: BLE001 - any failure of the flow is data
                 more = retry_with(s)
                 if more is not None:
-                    if len(more) + len(queue) > retries_limit:
+                    if len(more) + len(waiting) > retries_limit:
                         raise OverflowError(f"more than {retries_limit} retries wait") from e
-                    queue.extend(more)
+                    waiting.extend(more)
                     continue
                 result = (False, None, str(e), s)
             order += 1

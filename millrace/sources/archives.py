@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8192
 EXTENSIONS = (".zip",)
@@ -64,6 +65,11 @@ def zip_entries(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, extensions: tu
     return files.select(path, content).mapInArrow(run, SCHEMA)
 
 
+def total_bytes(chunks: DataFrame) -> DataFrame:
+    """(archive, total_bytes): what the source has read of each archive, unpacked; archives without a chunk are absent."""
+    return chunks.groupBy("archive").agg(F.sum(F.octet_length("chunk").cast("long")).alias("total_bytes"))
+
+
 def zip_source(spark: SparkSession, path: str, **options) -> DataFrame:
     """zip_entries of all files below a path of any store that Spark reads."""
     return zip_entries(spark.read.format("binaryFile").load(path), **options)

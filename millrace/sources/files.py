@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 
 CHUNK_BYTES = 8192
+#: Bytes of a growing file that a micro-batch takes at most; they pass through the driver.
+BATCH_BYTES = 16 << 20
 
 
 def directory_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -82,14 +84,15 @@ def _chunks(path: str, start: int, end: int, size: int) -> Iterator[tuple[int, b
 
 
 class _TailStream(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, start: int, size: int):
+    def __init__(self, path: str, start: int, size: int, most: int):
         self.path, self.start, self.size = path, start, size
+        self.most = max(most // size, 1) * size  # whole chunks
 
     def initialOffset(self) -> dict:
         return {"at": self.start}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = max(start["at"], os.path.getsize(self.path))
+        end = max(start["at"], min(os.path.getsize(self.path), start["at"] + self.most))
         return iter(list(_chunks(self.path, start["at"], end, self.size))), {"at": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
@@ -105,9 +108,10 @@ class _TailBatch(DataSourceReader):
 
 
 class FileTail(DataSource):
-    """Source ``file_tail``: options path, startPosition and maxChunkSize; (position, chunk).
+    """Source ``file_tail``: options path, startPosition, maxChunkSize and maxBatchBytes; (position, chunk).
 
-    As a batch what is there now, as a stream also what is appended; offsets are byte positions.
+    As a batch what is there now, as a stream also what is appended, at most maxBatchBytes in a micro-batch; offsets
+    are byte positions.
     """
 
     @classmethod
@@ -130,7 +134,7 @@ class FileTail(DataSource):
         return _TailBatch(*self._options())
 
     def simpleStreamReader(self, schema: Any) -> SimpleDataSourceStreamReader:
-        return _TailStream(*self._options())
+        return _TailStream(*self._options(), int(self.options.get("maxBatchBytes", BATCH_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
