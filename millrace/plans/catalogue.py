@@ -115,11 +115,37 @@ def q_sample_steps(spark, sf_dir):
     return ordered.sample_steps(events(spark, sf_dir), steps).select("event_id", "user_id")
 
 
-@query()
+@query(f"""WITH {_B}, k AS (SELECT unnest(range(1, max(rn) + 1)) AS k FROM b),
+s AS (SELECT CAST(sum(CAST('0x' || substr(md5('7:' || k), 1, 15) AS BIGINT) % 10 + 1) OVER (ORDER BY k) AS BIGINT) AS pos FROM k)
+SELECT event_id, user_id FROM b JOIN s ON rn = pos""")
 def q_sample_random(spark, sf_dir):
     return ordered.sample_random(events(spark, sf_dir), 10, seed=7).select("event_id", "user_id")
 
 
+_GLOBAL = "b AS (SELECT *, epoch_us(ts) - 1704067200000000 AS a, row_number() OVER (ORDER BY event_id) AS rn FROM events)"
+
+
+def whole(spark, sf_dir, *columns):
+    """events as one sequence."""
+    s = events(spark, sf_dir, *columns)
+    return Stream(s.df, s.order_by, (), s.arrival)
+
+
+@query(f"""WITH {_GLOBAL},
+l AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS chg FROM b),
+r AS (SELECT *, sum(chg) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) - 1 AS pos FROM r)
+SELECT min(event_id) AS first_order, any_value(event_type) AS property, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS elements, count(*) AS n FROM p GROUP BY run, pos // 2""")
+def q_accumulate_while_unchanged_global(spark, sf_dir):
+    out = ordered.accumulate_while_unchanged(whole(spark, sf_dir, "event_type"), "event_type", "event_id", max_elements=2)
+    return out.withColumn("elements", F.array_join(F.col("elements").cast("array<string>"), ","))
+
+
+@query(f"WITH {_GLOBAL}, c AS (SELECT *, a // {HOUR} AS c FROM b) SELECT event_id, CAST(greatest(a, (rn + greatest(max(c - rn) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0)) * {HOUR}) AS BIGINT) AS emit_us FROM c")
+def q_pulse_global(spark, sf_dir):
+    return timing.pulse(whole(spark, sf_dir), HOUR).select("event_id", "emit_us")
+
+
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def q_last_element(spark, sf_dir):
     return ordered.last_element(events(spark, sf_dir, "event_type"), ["event_id", "event_type"])
@@ -272,12 +298,28 @@ def q_valve(spark, sf_dir):
     return timing.valve(rows, controls, "at", "opens").select("event_id", "user_id", "emit_us")
 
 
-@query("SELECT user_id, unnest([event_id * 3, event_id * 3 + 1, event_id * 3 + 2]) AS item FROM events")
+#: The buffer's size after each arrival follows from the size before: ticks in between let one element go each, the
+#: arrival adds three or one, and one element leaves, more if the buffer is larger than 4.
+_KEEP_ALIVE = f"""WITH RECURSIVE {_B},
+r AS (SELECT user_id, rn, event_id, a, a AS before, CAST(0 AS BIGINT) AS ticks, CAST(3 AS BIGINT) AS added, CAST(1 AS BIGINT) AS leave, CAST(2 AS BIGINT) AS held FROM b WHERE rn = 1
+ UNION ALL SELECT user_id, rn, event_id, a, before, ticks, added, 1 + greatest(0, l + added - 5), l + added - 1 - greatest(0, l + added - 5)
+ FROM (SELECT *, CASE WHEN l < 4 THEN 3 ELSE 1 END AS added FROM (SELECT b.user_id, b.rn, b.event_id, b.a, r.a AS before, least(b.a // {HOUR} - r.a // {HOUR}, r.held) AS ticks, r.held - least(b.a // {HOUR} - r.a // {HOUR}, r.held) AS l
+  FROM r JOIN b ON b.user_id = r.user_id AND b.rn = r.rn + 1))),
+times AS (SELECT user_id, rn, 0 AS part, k, (before // {HOUR} + 1 + k) * {HOUR} AS t FROM r, LATERAL (SELECT unnest(range(ticks)) AS k)
+ UNION ALL SELECT user_id, rn, 1, k, a FROM r, LATERAL (SELECT unnest(range(leave)) AS k)
+ UNION ALL SELECT user_id, rn, 2, k, (a // {HOUR} + 1) * {HOUR} FROM (SELECT *, max(rn) OVER (PARTITION BY user_id) AS top FROM r) x, LATERAL (SELECT unnest(range(held)) AS k) WHERE rn = top),
+items AS (SELECT user_id, rn, k, CASE WHEN added = 3 THEN CAST(event_id * 3 + k AS VARCHAR) ELSE concat_ws(',', event_id * 3, event_id * 3 + 1, event_id * 3 + 2) END AS item FROM r, LATERAL (SELECT unnest(range(added)) AS k)),
+left_at AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY rn, part, k) AS p FROM times),
+queued AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY rn, k) AS p FROM items)
+SELECT user_id, p AS emit_order, CAST(t AS BIGINT) AS emit_us, item FROM queued JOIN left_at USING (user_id, p)"""
+
+
+@query(_KEEP_ALIVE)
 def q_keep_alive_concat(spark, sf_dir):
     s = events(spark, sf_dir)
     s = s.having(s.df.select("event_id", "user_id", "a", F.array(*[F.col("event_id") * 3 + i for i in range(3)]).alias("items")))
     out = timing.keep_alive_concat(s, 4, HOUR, "items", lambda x: [[i] for i in x])
-    return out.select("user_id", F.explode("items").alias("item"))
+    return out.select("user_id", "emit_order", "emit_us", F.array_join(F.col("items").cast("array<string>"), ",").alias("item"))
 
 
 # --- routing ------------------------------------------------------------------------------------
@@ -305,10 +347,10 @@ def q_pass_through(spark, sf_dir):
     return routing.pass_through(df, lambda x: x.withColumn("sq", F.col("o_custkey") * F.col("o_custkey")), "o_orderkey", "sq", "squared")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS emit_position FROM events WHERE event_id % 5 <> 0")
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS emit_position FROM events")
 def q_merge_by_index(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id")
-    return routing.merge_by_index([df.where(F.col("event_id") % 5 == i) for i in range(1, 5)], "event_id", "event_id")
+    return routing.merge_by_index([df.where(F.col("event_id") % 5 == i) for i in range(5)], "event_id", "event_id")
 
 
 @query("""WITH x AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS p FROM events WHERE event_type = 'purchase'),
@@ -347,10 +389,10 @@ def q_unfold_flow(spark, sf_dir):
     return loops.unfold_flow(table(spark, sf_dir, "part").where("p_partkey > 0"), "p_partkey", flow, "long")
 
 
-@query("""WITH RECURSIVE t(seed, step, n) AS (SELECT s_suppkey, CAST(1 AS BIGINT), s_suppkey FROM supplier WHERE s_suppkey BETWEEN 1 AND 100
+@query("""WITH RECURSIVE t(seed, step, n) AS (SELECT s_suppkey, CAST(1 AS BIGINT), s_suppkey FROM supplier WHERE s_suppkey > 0
 UNION ALL SELECT seed, step + 1, CASE WHEN n % 2 = 0 THEN n // 2 ELSE 3 * n + 1 END FROM t WHERE n <> 1) SELECT seed, step, n AS element FROM t WHERE n <> 1""")
 def q_unfold_sql(spark, sf_dir):
-    seeds = table(spark, sf_dir, "supplier").where("s_suppkey between 1 and 100").select("s_suppkey")
+    seeds = table(spark, sf_dir, "supplier").where("s_suppkey > 0").select("s_suppkey")
     return loops.unfold_sql(seeds, "s_suppkey", "CASE WHEN state % 2 = 0 THEN state div 2L ELSE 3L * state + 1L END", "state <> 1", 500)
 
 
@@ -422,6 +464,12 @@ def q_latency_timer(spark, sf_dir):
     return out.select("event_id", "user_id", "started_us", "latency_us")
 
 
+@query(_delay_sql(str(HOUR)).replace("SELECT event_id, user_id, CAST(", "SELECT event_id, CAST(").replace("AS emit_us", "- a AS latency_us"))
+def q_measure_latency(spark, sf_dir):
+    """Time from arrival until an element leaves a delay."""
+    return metrics.measure_latency(events(spark, sf_dir), lambda s: timing.delay_fixed(s, HOUR).drop("a"), "event_id").select("event_id", "latency_us")
+
+
 # --- sources ------------------------------------------------------------------------------------
 
 
@@ -447,12 +495,18 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["path", "content"])
 
 
-@query("""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
-SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(k AS BIGINT) AS chunk_no, CAST(least(1000, n - k * 1000) AS BIGINT) AS size
-FROM (SELECT doc_id, n, unnest(range(0, (n + 999) // 1000)) AS k FROM d)""")
+@query("""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(k AS BIGINT) AS chunk_no, CAST(length(c) // 2 AS BIGINT) AS size, md5(unhex(c)) AS digest
+FROM (SELECT doc_id, k, substr(h, CAST(k * 2000 + 1 AS BIGINT), 2000) AS c FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 999) // 1000)) AS k FROM d))""")
 def q_zip_entries(spark, sf_dir):
     zips = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_zipped, "path string, content binary")
-    return archives.zip_entries(zips, 1000).select("name", "chunk_no", F.octet_length("chunk").cast("long").alias("size"))
+    return archives.zip_entries(zips, 1000).select("name", "chunk_no", F.octet_length("chunk").cast("long").alias("size"), F.md5("chunk").alias("digest"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS archive, CAST(octet_length(encode(text)) AS BIGINT) AS total_bytes FROM documents WHERE text <> ''")
+def q_zip_total_bytes(spark, sf_dir):
+    zips = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_zipped, "path string, content binary")
+    return archives.total_bytes(archives.zip_entries(zips))
 
 
 @query("""WITH a AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_chars FROM documents WHERE doc_id % 5 <> 0)
@@ -464,11 +518,12 @@ def q_directory_changes(spark, sf_dir):
     return files.directory_changes(listing("doc_id % 7 <> 0", "n_chars"), listing("doc_id % 5 <> 0", "n_chars + if(doc_id % 3 = 0, 1, 0)"))
 
 
-@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)
-SELECT doc_id, CAST(p AS BIGINT) AS position, CAST(least(512, n - p) AS BIGINT) AS size FROM (SELECT doc_id, n, unnest(range(100, n, 512)) AS p FROM d)""")
+@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, CAST(p AS BIGINT) AS position, CAST(length(c) // 2 AS BIGINT) AS size, md5(unhex(c)) AS digest
+FROM (SELECT doc_id, p, substr(h, CAST(p * 2 + 1 AS BIGINT), 1024) AS c FROM (SELECT doc_id, h, unnest(range(100, length(h) // 2, 512)) AS p FROM d))""")
 def q_file_tail(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return files.byte_chunks(df, "doc_id", "content", 100, 512).select("doc_id", "position", F.octet_length("chunk").cast("long").alias("size"))
+    return files.byte_chunks(df, "doc_id", "content", 100, 512).select("doc_id", "position", F.octet_length("chunk").cast("long").alias("size"), F.md5("chunk").alias("digest"))
 
 
 @query()
