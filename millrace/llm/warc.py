@@ -3,7 +3,7 @@
 A capture is three records: request, response (or revisit, when another page of equal payload keeps
 the bytes) and metadata; request and metadata name the response in WARC-Concurrent-To. Archives
 are written by Spark's text writer, whose line separator ends the last record of each capture, and
-compressed by it, so they land wherever Spark can write; each holds a bounded number of captures.
+compressed by it, so they land wherever Spark can write; each holds a bounded number of captures and of bytes.
 They are read as binary files and parsed by Content-Length in a streaming pass. Assembly joins the
 three kinds of records through their identifiers, which carry no payload unless it is asked for.
 """
@@ -24,7 +24,9 @@ from millrace.llm._scratch import new_path, staged
 
 #: Equal payloads of at least so many bytes are stored once.
 MIN_REVISIT_BYTES = 0
-CAPTURES_PER_FILE = 1000
+#: Captures of an archive, by the bytes of a payload from which the next number holds: at most 256 MB of payloads each,
+#: but for a single one that is larger.
+CAPTURES_PER_FILE = ((0, 1000), (1 << 18, 16), (1 << 24, 1))
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 18
@@ -69,10 +71,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     A null html is an empty payload. Of equal payloads of at least ``min_bytes`` the rows with the
     smallest id are responses and all others revisits; so is a row without id, unless no row of that
-    payload has one. Ids are integers; rows may repeat. An empty table gives archives without records.
+    payload has one. Payloads are equal if size and SHA-256 are (the SHA-1 of the records decides nothing). Ids are
+    integers; rows may repeat; other columns are not read. An empty table gives archives without records.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    keyed = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     groups = keyed.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1 and least is not null")
     groups = staged(groups.select(F.col("digest").alias("g_digest"), F.col("size").alias("g_size"), "least"), "warc-groups")
     joined = keyed.join(groups.hint("merge"), (F.col("digest") == F.col("g_digest")) & (F.col("size") == F.col("g_size")), "left")
@@ -84,8 +87,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 part = batch.slice(at, 64)
                 yield pa.RecordBatch.from_arrays([pa.array([_capture(*row, date).decode() for row in zip(*(c.to_pylist() for c in part.columns), strict=True)], pa.string())], names=["value"])
 
-    out = joined.select("id", "url", "payload", refers.alias("refers")).mapInArrow(run, "value string")
-    out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    largest = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    ends = [least for least, _ in CAPTURES_PER_FILE[1:]] + [None]
+    for (least, captures_per_file), end in zip(CAPTURES_PER_FILE, ends, strict=True):
+        if largest < least:
+            break
+        part = joined.where(F.col("size") >= least) if end is None else joined.where((F.col("size") >= least) & (F.col("size") < end))
+        out = part.select("id", "url", "payload", refers.alias("refers")).mapInArrow(run, "value string")
+        out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(f"{path}/from-{least}")
 
 
 class _Stream:
