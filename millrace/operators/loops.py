@@ -22,6 +22,17 @@ from millrace.plans.checkpoints import cut
 _BATCH = 4096
 
 
+#: Session setting: seconds after which a call of a retried flow has failed, where no timeout_s is given.
+RETRY_TIMEOUT = "spark.millrace.retry.timeout"
+
+
+def _retry_timeout(df: DataFrame, timeout_s: float | None) -> float | None:
+    if timeout_s is not None:
+        return timeout_s
+    held = df.sparkSession.conf.get(RETRY_TIMEOUT, None)
+    return float(held) if held else None
+
+
 def _within(call: Callable[[Any], Any], seconds: float | None) -> Callable[[Any], Any]:
     """The call, failing with TimeoutError when it takes longer; a call that hangs stays behind in a daemon thread."""
     if seconds is None:
@@ -178,12 +189,12 @@ def feedback_each(df: DataFrame, value: str, forward: Callable[[Any], tuple[list
 def retry(df: DataFrame, key: str, value: str, state: str, flow: Callable[[Any], Any], retry_with: Callable[[Any], tuple[Any, Any] | None], result_type: str, max_attempts: int = 1000, timeout_s: float | None = None) -> DataFrame:
     """(key, ok, result, error, state, attempts): the flow's success, or its last failure.
 
-    A failed element (the flow raised, or took longer than timeout_s) is tried again with retry_with(state) = (value,
+    A failed element (the flow raised, or took longer than timeout_s, else than RETRY_TIMEOUT) is tried again with retry_with(state) = (value,
     state), until that is None. More than max_attempts fail the query. Also for streams: elements do not depend on
     each other.
     """
     kinds = dict(df.dtypes)
-    flow = _within(flow, timeout_s)
+    flow = _within(flow, _retry_timeout(df, timeout_s))
 
     def one(x: Any, s: Any) -> tuple:
         for attempt in range(1, max_attempts + 1):
@@ -212,7 +223,7 @@ def retry_concat(df: DataFrame, key: str, value: str, state: str, flow: Callable
     failure on. A list that does not fit into retries_limit fails the query. A call that takes longer than timeout_s failed.
     """
     kinds = dict(df.dtypes)
-    flow = _within(flow, timeout_s)
+    flow = _within(flow, _retry_timeout(df, timeout_s))
 
     def one(x: Any, s: Any) -> Iterator[tuple]:
         waiting, order, attempts = deque([(x, s)]), 0, 0

@@ -279,12 +279,16 @@ def test_metrics(spark):
     assert col(metrics.latency_timer(starts, ends, ["k"], "t", "t", strict=True), "latency_us", "t") == [100, 50]
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("walked", [0, 100_000])
+def test_pages(spark, monkeypatch, walked):
+    monkeypatch.setattr(paged, "WALKED", walked)
     pages = spark.createDataFrame([("first", [1, 2], "second"), ("second", [3, 4, 5], None)], "page_key string, items array<int>, next_key string")
     assert col(paged.paged_table(pages, "first").withColumn("o", F.col("page_no") * 100 + F.col("item_pos")), "item", "o") == [1, 2, 3, 4, 5]
     lists = spark.createDataFrame([(1, ["a", "b", "c"], 2), (2, ["d", "e"], 3), (3, [], 4), (4, ["x"], None)], "page_key int, items array<string>, next_key int")
     assert sorted(r.item for r in paged.paged_table(lists, 1).collect()) == list("abcde")
     assert paged.paged_table(lists, 9).count() == 0
+    chain = spark.range(1, 300).selectExpr("id as page_key", "array(id * 10, id * 10 + 1) as items", "id + 1 as next_key")
+    assert [r.item for r in paged.paged_table(chain, 50).orderBy("page_no", "item_pos").collect()] == [10 * i + k for i in range(50, 300) for k in (0, 1)]
     loop = spark.createDataFrame([(1, [1], 2), (2, [2], 1)], "page_key int, items array<int>, next_key int")
     with pytest.raises(RuntimeError):
         paged.paged_table(loop, 1, max_pages=10)

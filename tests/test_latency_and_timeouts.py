@@ -53,6 +53,11 @@ def test_timeouts(spark):
     assert got == {0: (True, 2, None, 2), 1: (True, 2, None, 1)}
     failed = loops.retry(df.where("k = 0"), "k", "x", "s", flow, lambda s: None, "long", timeout_s=0.5).first()
     assert not failed.ok and "0.5 s" in failed.error
+    spark.conf.set(loops.RETRY_TIMEOUT, "0.5")
+    try:
+        assert "0.5 s" in loops.retry(df.where("k = 0"), "k", "x", "s", flow, lambda s: None, "long").first().error
+    finally:
+        spark.conf.unset(loops.RETRY_TIMEOUT)
     many = {(r.key, r.ok, r.result) for r in loops.retry_concat(df, "k", "x", "s", flow, lambda s: [(7, s), (8, s)], "long", 10, timeout_s=0.5).collect()}
     assert many == {(0, True, 7), (0, True, 8), (1, True, 2)}
 
