@@ -8,13 +8,14 @@ purpose-made strings: they choose and route (anchors, buckets), and never decide
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held in numpy arrays at a time; one longer text is taken alone, whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -155,7 +156,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, self.rows = word_bounds(data, offsets)
-        self.hashes = word_hashes(data, starts, ends)
+        self._found = data, starts, ends
         # Keep the words and the byte behind each, if it lies in the block; that of another text is never looked at.
         keep = np.zeros(len(data) + 1, np.int8)
         keep[starts] += 1
@@ -169,6 +170,10 @@ class Words:
         self.starts = place[starts]
         self.ends = self.starts + (ends - starts)
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(*self._found)
+
     def cut(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
         """Runs of words [first, end) of one text each, joined by single spaces; an empty run gives no bytes."""
         raw = self.raw
@@ -197,21 +202,23 @@ def byte_rolling(data: np.ndarray) -> Rolling:
 def window_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest hash (the first on ties) in each window of ``width`` hashes.
 
-    Compares the upper 32 bits of the hashes; the choice depends on the window's content alone. Two
-    passes of block-wise running minima, so the cost does not depend on the width.
+    Compares the upper 32 bits of the hashes; the choice depends on the window's content alone. Minima of
+    windows of 2, 4, 8 and so on hashes; two of the last that fits cover the window.
     """
     n = len(hashes)
     m = n - width + 1
     if m <= 0:
         return np.zeros(0, np.int64)
     low = np.uint64(0xFFFFFFFF)
-    blocks = -(-n // width)
-    key = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    key[:n] = (hashes & ~low) | np.arange(n, dtype=np.uint64)
-    square = key.reshape(blocks, width)
-    ahead = np.minimum.accumulate(square, axis=1).ravel()
-    back = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(back[:m], ahead[width - 1 : width - 1 + m]) & low).astype(np.int64)
+    key = hashes & ~low
+    key |= np.arange(n, dtype=np.uint64)
+    w = 1
+    while 2 * w <= width:
+        key = np.minimum(key[:-w], key[w:])
+        w *= 2
+    if w < width:
+        key = np.minimum(key[:m], key[width - w : width - w + m])
+    return (key & low).astype(np.int64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

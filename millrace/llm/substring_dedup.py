@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm.windows import Plan, Units, block_spans, repeated_windows
+from millrace.llm.windows import Plan, merged, repeated_windows
 
 SIZE = 50
 GRAM = 20
@@ -95,21 +95,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    plan = _plan(size)
-    spans, copies = repeated_windows(rows, plan)
-    spans = spans.withColumnsRenamed({"id": "s_id", "mark": "s_mark"})
+    spans = repeated_windows(rows, _plan(size)).withColumnsRenamed({"id": "s_id", "mark": "s_mark"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                units = Units(data, offsets, plan.words)
-                held = block_spans(plan, copies, ids, units, batch.column(2).slice(at, len(ids)).to_pylist())
+                words = _text.Words(data, offsets)
+                held = [merged(x) for x in batch.column(2).slice(at, len(ids)).to_pylist()]
                 at += len(ids)
-                counts, cuts = np.diff(units.rows), units.rows.tolist()
+                counts, cuts = np.diff(words.rows), words.rows.tolist()
                 pieces = [[*((x, y) for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), n], strict=True) if x < y)] for runs, n in zip(held, counts.tolist(), strict=True)]
                 flat = np.array([(a + x, a + y) for a, runs in zip(cuts[:-1], pieces, strict=True) for x, y in runs], np.int64).reshape(-1, 2)
-                parts = iter(units.cut(flat[:, 0], flat[:, 1]))
+                parts = iter(words.cut(flat[:, 0], flat[:, 1]))
                 kept = [b" ".join(next(parts) for _ in runs).decode() for runs in pieces]
                 removed = [[{"start": x, "end": y} for x, y in runs] for runs in held]
                 yield pa.RecordBatch.from_arrays(

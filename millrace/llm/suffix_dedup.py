@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm.windows import Plan, Units, block_spans, repeated_windows
+from millrace.llm.windows import Plan, merged, repeated_windows
 
 SIZE = 200
 GRAM = 72
@@ -117,15 +117,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    plan = _plan(size)
-    spans, copies = repeated_windows(rows, plan)
-    spans = spans.withColumnsRenamed({"id": "s_id", "mark": "s_mark"})
+    spans = repeated_windows(rows, _plan(size)).withColumnsRenamed({"id": "s_id", "mark": "s_mark"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
-                held = block_spans(plan, copies, ids, Units(data, offsets, plan.words), batch.column(2).slice(at, len(ids)).to_pylist())
+                held = [merged(x) for x in batch.column(2).slice(at, len(ids)).to_pylist()]
                 at += len(ids)
                 raw, cuts = data.tobytes(), offsets.tolist()
                 removed, kept = [], []

@@ -13,12 +13,12 @@ windows, are what is compared:
     are repeated. Where an anchor has several kinds, contents are shuffled and meet by a core that every
     window of (half of) the stretch contains; a kind that has its anchor to itself can meet nothing but its own
     copies and stays in the task that reads it;
- 4. the last pass over the documents removes the stretches of kinds that the kernel has found to be repeated
-    from end to end, and adds what a join brings for the others.
+    the same scan gives the stretches that are copies of a representative; they count if the kernel has found its kind
+    to be repeated from end to end. A join brings what it has found of the representatives.
 
 Scans read the documents in place; of text, one stretch of each kind whose anchor has several is shuffled. Bit tables
 of bounded size tell what cannot be; what they let through is joined exactly, so a full table costs rows
-and never results. A core of more than HOT contents is split: its windows
+and never results. Of more representatives than a table tells apart, contents are fetched by a join. A core of more than HOT contents is split: its windows
 are aggregated, and one representative of each repeated window goes through the kernel with its count.
 """
 
@@ -38,8 +38,10 @@ from millrace.llm._scratch import staged
 
 #: Contents of a core that a task takes together; a core with more is split into its windows.
 HOT = 1000
+#: Representatives that a bit table tells apart well enough; of more, contents are fetched by a join.
+MAX_ENTRIES = 1 << 26
 #: Bytes of contents that a kernel holds at a time; a core's contents are never parted.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 class Units:
@@ -133,12 +135,11 @@ def _longs(**columns: np.ndarray) -> pa.RecordBatch:
     return _batch(**{k: pa.array(_text.signed(v) if v.dtype == np.uint64 else v.astype(np.int64, copy=False)) for k, v in columns.items()})
 
 
-def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
-    """(id, mark, spans) that need a join, staged, and a function that finds all others inside a document.
+def repeated_windows(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(id, mark, spans) of the documents that have repeated windows, staged.
 
-    spans are runs [a, b) of units covered by repeated windows; the function takes ids and units of a block
-    and gives rows, a and b. docs has id (long), text and mark (a long that depends on the text alone and
-    tells rows of one id apart). Rows without id are left out.
+    spans are runs [a, b) of units covered by repeated windows, in no order. docs has id (long), text and mark (a long
+    that depends on the text alone and tells rows of one id apart). Rows without id are left out.
     """
     context, size, gram = docs.sparkSession.sparkContext, plan.size, plan.gram
 
@@ -168,26 +169,37 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
     many = F.col("least") < F.col("most") if plan.earlier else F.col("n") > 1
     opened = staged(marked.select("c_key", "c_digest", "least", many.alias("many"), F.col("m_key").isNotNull().alias("several")), "window-opened")
     met, lone = (staged(opened.where(x), "window-reps") for x in ("several", "not several"))
-    wanted, alone = (context.broadcast(BitTable(_names(x.select("c_digest", "least")), x.count())) for x in (met, lone))
+    n_met = met.count()
+    beyond = n_met > MAX_ENTRIES
+    wanted, alone = (context.broadcast(BitTable(_names(x.select("c_digest", "least")), n)) for x, n in ((met, n_met), (lone, lone.count())))
 
     # A stretch may be a copy from end to end unless it stands for its kind.
     first_ones = kinds if plan.earlier else kinds.where("n = 1")
     standing = context.broadcast(BitTable(_names(first_ones.select("c_digest", "least")), first_ones.count()))
 
+    def copy_runs(first, last, row, at):
+        """First and last stretch of each run of stretches that overlap or touch."""
+        if not len(at):
+            return at, at
+        cut = np.flatnonzero((first[at[1:]] > last[at[:-1]] + size) | (row[at[1:]] != row[at[:-1]])) + 1
+        return at[np.concatenate([[0], cut])], at[np.concatenate([cut, [len(at)]]) - 1]
+
     def open_ones(ids, marks, units):
-        """Stretches to be decided by a join (side 0), contents for the kernel (1), and what it says of lone kinds (2)."""
+        """Stretches to be decided by a join (side 0), contents for the kernel (1), what it says of lone kinds (2), runs of copies (3)."""
         anchor, first, last, row, key, digest, name = found(ids, units)
         doc, mark = ids[row], marks[row]
-        held = np.flatnonzero(standing.value.may_hold(name))
+        stands = standing.value.may_hold(name)
+        held = np.flatnonzero(stands)
         sent = np.flatnonzero(wanted.value.may_hold(name))
         sent = sent[np.sort(np.unique(name[sent], return_index=True)[1])]  # a document's copies of a stretch are one content
         own, lo, hi = _lone_runs(units, plan, first, last, row, name, np.flatnonzero(alone.value.may_hold(name)))
-        at = np.concatenate([held, sent, own])
-        side = np.repeat([0, 1, 2], [len(held), len(sent), len(own)]).astype(np.int32)
-        content = [None] * len(held) + units.cut(first[sent], last[sent] + size) + [None] * len(own)
-        place = first - units.rows[row]
-        begin, end = np.concatenate([place[held], place[sent], lo]), np.concatenate([(place + last - first)[held], (place + last - first)[sent], hi])
-        third = np.concatenate([(anchor - first)[held], (anchor - first)[sent], (last - first + 1)[own]])
+        heads, tails = copy_runs(first, last, row, np.flatnonzero(~stands))
+        at = np.concatenate([held, sent, own, heads])
+        side = np.repeat([0, 1, 2, 3], [len(held), len(sent), len(own), len(heads)]).astype(np.int32)
+        content = [None] * len(held) + ([None] * len(sent) if beyond else units.cut(first[sent], last[sent] + size)) + [None] * (len(own) + len(heads))
+        place, stop = first - units.rows[row], last - units.rows[row]
+        begin, end = np.concatenate([place[held], place[sent], lo, place[heads]]), np.concatenate([stop[held], stop[sent], hi, stop[tails] + size])
+        third = np.concatenate([(anchor - first)[held], (anchor - first)[sent], (last - first + 1)[own], np.zeros(len(heads), np.int64)])
         return _batch(
             side=pa.array(side), key=pa.array(_text.signed(key[at])), digest=pa.array(_text.signed(digest[at])), id=pa.array(doc[at]), mark=pa.array(mark[at]),
             first=pa.array(begin), last=pa.array(end), anchor=pa.array(third), content=pa.array(content, pa.binary()),
@@ -197,7 +209,8 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
     same = (F.col("key") == F.col("c_key")) & (F.col("digest") == F.col("c_digest"))
     rep = same & (F.col("id") == F.col("least"))
     members = both.where("side = 1").join(met.hint("merge"), rep)
-    members = members.select("key", "digest", "id", (F.col("last") - F.col("first") + 1).alias("total"), "many", "anchor", "content")
+    members = members.select("key", "digest", "id", "mark", "first", "last", "many", "anchor", "content")
+    members = (_contents(docs, members, plan) if beyond else members).select("key", "digest", "id", (F.col("last") - F.col("first") + 1).alias("total"), "many", "anchor", "content")
     members = staged(_cores(members, plan), "window-members")
     hot = staged(members.groupBy(F.col("core").alias("h_core")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("h_core"), "window-hot")
     if hot.isEmpty():
@@ -214,7 +227,16 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
     ends = ends.groupBy("key", "digest").agg(F.first("total").alias("total"), F.collect_set(F.struct("lo", "hi")).alias("runs"))
     ends = ends.where(F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"] + 1) == F.col("total")).select(F.col("key").alias("e_key"), F.col("digest").alias("e_digest"))
     unproven = staged(opened.where("many").join(ends.hint("merge"), (F.col("c_key") == F.col("e_key")) & (F.col("c_digest") == F.col("e_digest")), "left_anti").select("c_digest"), "window-unproven")
-    doubted = context.broadcast(None if unproven.isEmpty() else BitTable(unproven, unproven.count()))
+    certain = both.where("side = 3").select("id", "mark", F.col("first").alias("a"), F.col("last").alias("b"))
+    if not unproven.isEmpty():
+        doubted = context.broadcast(BitTable(unproven, unproven.count()))
+
+        def proven_copies(ids, marks, units):
+            _, first, last, row, _, digest, name = found(ids, units)
+            at = np.flatnonzero(~standing.value.may_hold(name) & ~doubted.value.may_hold(digest))
+            return _longs(id=ids[row[at]], mark=marks[row[at]], a=(first - units.rows[row])[at], b=(last - units.rows[row])[at] + size)
+
+        certain = _scan(docs, plan, "id long, mark long, a long, b long", proven_copies)
 
     undecided = both.where("side = 0").select("key", "digest", "id", "mark", "first")
     if plan.earlier:
@@ -224,30 +246,8 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> tuple[DataFrame, Callable]:
     runs = fine.select(F.col("key").alias("c_key"), F.col("digest").alias("c_digest"), "later", "lo", "hi")
     part = undecided.join(runs.hint("merge"), same & (F.col("is_later") == F.col("later")))
     part = part.select("id", "mark", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + size).alias("b"))
-    spans = staged(part.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "window-spans")
-
-    def copies(ids, units):
-        """Stretches that certainly are copies: row, a and b."""
-        _, first, last, row, _, digest, name = found(ids, units)
-        certain = ~standing.value.may_hold(name)
-        if doubted.value is not None:
-            certain &= ~doubted.value.may_hold(digest)
-        at = np.flatnonzero(certain)
-        return row[at], first[at] - units.rows[row[at]], last[at] - units.rows[row[at]] + size
-
-    return spans, copies
-
-
-def block_spans(plan: Plan, copies: Callable, ids: pa.Array, units: Units, joined: list) -> list[list[tuple[int, int]]]:
-    """Maximal runs of covered units of each text of a block; ``joined`` has the spans that came by a join."""
-    out: list[list[tuple[int, int]]] = [[(s["a"], s["b"]) for s in found or []] for found in joined]
-    if units.rows[-1] >= plan.size:
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        row, a, b = copies(np.asarray(ids.fill_null(0), np.int64), units)
-        for r, x, y in zip(row.tolist(), a.tolist(), b.tolist(), strict=True):
-            if known[r]:
-                out[r].append((x, y))
-    return [merged(found, n) for found, n in zip(out, np.diff(units.rows).tolist(), strict=True)]
+    # Rows that repeat an id and its text bring the same spans again.
+    return staged(part.unionAll(certain).groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "window-spans")
 
 
 def _runs(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,6 +279,29 @@ def _unit_bounds(content: bytes, words: bool) -> tuple[list[int], int]:
     return at, 1
 
 
+def _contents(docs: DataFrame, places: DataFrame, plan: Plan) -> DataFrame:
+    """places with the contents of their stretches, cut from the documents that a join brings to them."""
+    fields = ["key", "digest", "first", "last", "many", "anchor"]
+    grouped = places.groupBy(F.col("id").alias("p_id"), F.col("mark").alias("p_mark")).agg(F.collect_list(F.struct(*fields)).alias("places"))
+    joined = docs.join(grouped.hint("merge"), (F.col("id") == F.col("p_id")) & (F.col("mark") == F.col("p_mark"))).select("id", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, data, offsets in _text.text_slices(batch.column(0), batch.column(1)):
+                units = Units(data, offsets, plan.words)
+                held = batch.column(2).slice(at, len(ids)).to_pylist()
+                at += len(ids)
+                rows = [(i, p, base) for i, found, base in zip(ids.to_pylist(), held, units.rows[:-1].tolist(), strict=True) for p in found]
+                first, last = (np.array([p[k] + base for _, p, base in rows], np.int64) for k in ("first", "last"))
+                yield _table([(i, *(p[k] for k in fields), c) for (i, p, _), c in zip(rows, units.cut(first, last + plan.size), strict=True)], f"id long, {_PLACE}, content binary")
+
+    return joined.mapInArrow(run, f"id long, {_PLACE}, content binary")
+
+
+_PLACE = "key long, digest long, first long, last long, many boolean, anchor long"
+
+
 def _lone_runs(units: Units, plan: Plan, first: np.ndarray, last: np.ndarray, row: np.ndarray, name: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What the kernel says of the stretches ``at``, each of which stands for several copies: stretch, first and last window of each run.
 
@@ -412,13 +435,10 @@ def _by_window(members: DataFrame, plan: Plan) -> DataFrame:
     return hit.select("key", "digest", "total", F.explode(F.array_compact(sides)).alias("later"), *place)
 
 
-def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Maximal runs, clipped to n units."""
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal runs of spans (a, b), ascending."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        b = min(b, n)
-        if a >= b:
-            continue
+    for a, b in sorted((s["a"], s["b"]) for s in spans or []):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
