@@ -8,10 +8,10 @@ one class from the start and one row afterwards.
 
 Links are confirmed on whole sets, word by word. Inside a band's bucket pairs are not all confirmed:
  1. each member against the bucket's smallest member; components of these links;
- 2. then only members of different components, compared by a 1,024-byte min-max sketch inside the task
+ 2. then only members of different components, compared by a 2,048-byte min-max sketch inside the task
     that holds the bucket; pairs that may reach the threshold are confirmed on whole sets like the rest.
-The sketch estimate has a standard deviation of 0.0135 at the threshold and the cut lies 0.1 below it, more
-than seven of them. A pair is handed on in the first bucket that it shares only.
+The sketch estimate has a standard deviation of 0.0096 at the threshold and the cut lies 0.06 below it, more
+than six of them. A pair is handed on in the first bucket that it shares only.
 
 Members of a bucket of more than BLOCK are dealt anew for the second step, by an exact prefix filter: two sets
 at the threshold have one of their rarest quarter of shingles in common, so only documents that share such a
@@ -39,9 +39,11 @@ from millrace.llm.components import connected
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 26, 3
-SKETCH = 512
-SKETCH_CUT = 0.65
+SKETCH = 1024
+SKETCH_CUT = 0.69
 BLOCK = 2048
+#: Documents that a bit table tells apart well enough.
+MAX_ENTRIES = 1 << 26
 
 
 def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k:
     text is normalised; shingles are hashes, which choose candidates.
     """
     wanted = staged(wanted, "near-wanted")
-    table = docs.sparkSession.sparkContext.broadcast(BitTable(_id_hashes(wanted.select("id")), wanted.count()))
+    count = wanted.count()
+    table = docs.sparkSession.sparkContext.broadcast(BitTable(_id_hashes(wanted.select("id")), count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +171,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k:
                 columns = [ids.take(pa.array(full)), pa.array(same, pa.binary()), n, pa.array(texts, pa.binary()), _text.list_array(_text.signed(sets), bounds, pa.int64()), *(pa.array(x, pa.binary()) for x in held)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "same", "n", "text", "shingles", "sketch", "bands"])
 
-    found = _inputs(docs, id_col, text_col).mapInArrow(run, "id long, same binary, n long, text binary, shingles array<long>, sketch binary, bands binary")
+    rows = _inputs(docs, id_col, text_col)
+    if count > MAX_ENTRIES:
+        # More than a table tells apart: the texts that are wanted come by a join.
+        rows = rows.join(wanted.select(F.col("id").alias("d_id")).distinct().hint("merge"), F.col("id") == F.col("d_id"), "left_semi")
+    found = rows.mapInArrow(run, "id long, same binary, n long, text binary, shingles array<long>, sketch binary, bands binary")
     named = wanted.select(F.col("id").alias("w_id"), F.col("same").alias("w_same"))
     found = found.join(named.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("same") == F.col("w_same")), "left_semi")
     # Rows that repeat an id and its text are one document.

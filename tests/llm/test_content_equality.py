@@ -77,6 +77,21 @@ def test_hot_cores_are_split(spark, monkeypatch, hot):
         assert bytes(x.kept) == bytes(c for k, c in enumerate(t) if k not in gone)
 
 
+def test_full_bit_tables(spark, monkeypatch):
+    """More entries than a table tells apart: contents and texts come by joins."""
+    monkeypatch.setattr(windows, "MAX_ENTRIES", 0)
+    monkeypatch.setattr(minhash_dedup, "MAX_ENTRIES", 0)
+    rows = passages(20, random.Random(5))
+    df = spark.createDataFrame([(*x, 0) for x in rows] + [(None, rows[0][1], 0)], "doc_id long, text string, mark int")
+    assert {x.doc_id: x.kept for x in substring_dedup.remove_repeats(df, size=12).collect() if x.doc_id is not None} == brute_words(rows, 12)
+    count = collections.Counter(t.encode()[s : s + 60] for _, t in rows for s in range(len(t.encode()) - 59))
+    for x in suffix_dedup.remove_repeats(df.where("doc_id is not null"), size=60).collect():
+        t = rows[x.doc_id][1].encode()
+        gone = {k for s in range(len(t) - 59) if count[t[s : s + 60]] > 1 for k in range(s, s + 60)}
+        assert bytes(x.kept) == bytes(c for k, c in enumerate(t) if k not in gone)
+    assert {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(df).collect() if x.doc_id is not None} == components(rows)
+
+
 def test_nothing_goes_without_the_kernel(spark, monkeypatch):
     """Each removed unit is found by the suffix sorter or the parser."""
     rows = passages(20, random.Random(4))
