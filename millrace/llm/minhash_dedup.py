@@ -13,10 +13,10 @@ Links are confirmed on whole sets, word by word. Inside a band's bucket pairs ar
 The sketch estimate has a standard deviation of 0.0096 at the threshold and the cut lies 0.06 below it, more
 than six of them. A pair is handed on in the first bucket that it shares only.
 
-Members of a bucket of more than BLOCK are dealt anew for the second step, by an exact prefix filter: two sets
-at the threshold have one of their rarest quarter of shingles in common, so only documents that share such a
-shingle meet. Texts that share a common part but are not similar (templates, licenses) meet nowhere any more.
-What still is a larger bucket is dealt out in pairs of blocks.
+Members of a bucket with more than BLOCK members outside its largest component are dealt anew for the second step, by an
+exact prefix filter: two sets at the threshold have one of their rarest quarter of shingles in common, so only
+documents that share such a shingle meet. Texts that share a common part but are not similar (templates, licenses)
+meet nowhere any more. Of two components the likeliest pair is confirmed first, the others only if it is no link.
 
 Normalised texts leave the scan only for documents that share a bucket (found with a bit table of bounded size).
 """
@@ -207,50 +207,68 @@ def _rare_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Of n shingles, ordered by how many of these documents hold them, the first n - ceil(n * percent / 100) + 1 do: two
     sets at the threshold have one of those in common.
     """
-    held = rows.join(sets.select(F.col("id").alias("h_id"), "n", "shingles"), F.col("id") == F.col("h_id")).select("id", "component", "n", F.explode("shingles").alias("shingle"))
+    held = rows.join(sets.select(F.col("id").alias("h_id"), "same", "n", "shingles"), F.col("id") == F.col("h_id")).select("id", "same", "component", "n", F.explode("shingles").alias("shingle"))
     held = staged(held, "near-hot")
     often = held.groupBy(F.col("shingle").alias("f_shingle")).agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # A shingle of one document leads to no other, but takes a place among the rarest.
     ranked = held.join(often.hint("merge"), F.col("shingle") == F.col("f_shingle"), "left")
-    ranked = ranked.groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order"))
+    ranked = ranked.groupBy("id", "same", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order"))
     prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    return ranked.select("id", "component", F.explode(F.filter(prefix, lambda x: x["often"] > 1)["shingle"]).alias("bucket")).select("bucket", "id", "component")
+    return ranked.select("id", "component", F.explode(F.filter(prefix, lambda x: x["often"] > 1)["shingle"]).alias("bucket")).select("bucket", "id", "component").distinct()
 
 
-def _likely_pairs(rows: DataFrame, percent: int, banded: bool) -> DataFrame:
-    """Pairs of different components in a bucket whose sketches may reach the threshold.
+def _main_components(rows: DataFrame) -> DataFrame:
+    """(s_bucket, main, m, others): a bucket's largest component, its members there and the other members, if there are any."""
+    counts = rows.groupBy(F.col("bucket").alias("s_bucket"), "component").agg(F.count(F.lit(1)).alias("c"))
+    stats = counts.groupBy("s_bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("all"))
+    return stats.select("s_bucket", "main", "m", (F.col("all") - F.col("m")).alias("others")).where("others > 0")
 
-    rows: bucket, members (size of the bucket), id, component, n, sketch, bands. ``banded``: the buckets are bands.
+
+def _likely_pairs(rows: DataFrame, stats: DataFrame, sketches: DataFrame, percent: int, banded: bool) -> DataFrame:
+    """(a, b, x, y, est): pairs of different components (x, y) in a bucket whose sketches may reach the threshold.
+
+    rows: bucket, id, component; stats: their _main_components; sketches by k_id. ``banded``: the buckets are bands.
+    Members of a bucket's main component are dealt into blocks, and only its other members, dealt into blocks,
+    too, are copied to them: group (p, q) holds block p of the main component and block q of the others (all of them if
+    they are one block: q = -1, and then p = 0 compares them with each other); groups of negative p hold two blocks of others.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    held = ["block", "id", "component", "n", "sketch", "bands"]
-    rows = rows.select("bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), *held[1:])
-    one = rows.where("blocks = 1").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *held)
-    many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *held)
-
-    def compare(bucket: int, lo: int, hi: int, block: np.ndarray, ids: np.ndarray, comps: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    held = ["id", "component", "n", "sketch", "bands"]
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    dealt = rows.join(stats, F.col("bucket") == F.col("s_bucket")).withColumn("is_main", F.col("component") == F.col("main")).withColumn("mains", blocks("m")).withColumn("rests", blocks("others"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    group = lambda p, q: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"))
+    one = F.col("rests") == 1
+    to_rests = F.when(one, F.array(group(F.col("own"), F.lit(-1)))).otherwise(F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda q: group(F.col("own"), q)))
+    to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda p: group(p, F.when(one, -1).otherwise(F.col("own"))))
+    to_others = F.when(one, F.array().cast("array<struct<p:int,q:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: group(-1 - F.least(o, F.col("own")), F.greatest(o, F.col("own")))))
+    dealt = dealt.withColumn("g", F.explode(F.when(F.col("is_main"), to_rests).otherwise(F.concat(to_mains, to_others))))
+    dealt = dealt.select("bucket", F.col("g.p").alias("p"), F.col("g.q").alias("q"), F.when(F.col("is_main"), -1).otherwise(F.col("own")).alias("block"), "id", "component")
+    dealt = dealt.join(sketches, F.col("id") == F.col("k_id")).select("bucket", "p", "q", "block", *held)
+
+    def compare(bucket: int, p: int, q: int, block: np.ndarray, ids: np.ndarray, comps: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> list[np.ndarray]:
         cut = int(np.ceil((SKETCH_CUT + (percent - PERCENT) / 100) * sketch.shape[1]))
-        here = np.flatnonzero(block == lo)
-        there = here if lo == hi else np.flatnonzero(block == hi)
-        if lo == hi:  # members of the largest component are compared from the other side
-            names, counts = np.unique(comps, return_counts=True)
-            here = here[comps[here] != names[np.argmax(counts)]]
-        a, b = [], []
-        other = sketch[there]
+        if p < 0:
+            here, there = np.flatnonzero(block == -1 - p), np.flatnonzero(block == q)
+        else:
+            here = np.flatnonzero(block >= 0)
+            there = np.arange(len(block)) if q < 0 and p == 0 else np.flatnonzero(block < 0)
+        out: list[list[np.ndarray]] = [[], [], []]
+        other, n = sketch[there], size[there]
         for i in here.tolist():
-            n = size[there]  # a smaller set can have no more than itself in common
+            # A smaller set can have no more than itself in common.
             apart = np.flatnonzero((comps[there] != comps[i]) & (np.minimum(n, size[i]) * 100 >= np.maximum(n, size[i]) * percent))
             if not len(apart):
                 continue
             same = np.count_nonzero(other[apart] == sketch[i], axis=1)
-            hit = there[apart[same >= cut]]
+            good = same >= cut
+            hit, same = there[apart[good]], same[good]
             if banded:
                 shared = bands[hit] == bands[i]
-                hit = hit[bands[i][shared.argmax(axis=1)] == bucket]
-            a.append(np.full(len(hit), ids[i]))
-            b.append(ids[hit])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                own = bands[i][shared.argmax(axis=1)] == bucket
+                hit, same = hit[own], same[own]
+            for held, found in zip(out, (np.full(len(hit), i), hit, same), strict=True):
+                held.append(found)
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -266,9 +284,11 @@ def _likely_pairs(rows: DataFrame, percent: int, banded: bool) -> DataFrame:
                 part = table.slice(x, y - x)
                 sketch = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint8).reshape(y - x, -1)
                 bands = np.frombuffer(b"".join(part.column(8).to_pylist()), np.int64).reshape(y - x, -1)
-                a, b = compare(*key[:, x].tolist(), *(np.asarray(part.column(c), np.int64) for c in (3, 4, 5, 6)), sketch, bands)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                block, ids, comps, size = (np.asarray(part.column(c), np.int64) for c in (3, 4, 5, 6))
+                i, j, same = compare(*key[:, x].tolist(), block, ids, comps, size, sketch, bands)
+                if len(i):
+                    i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i], ids[j], comps[i], comps[j], same)], names=["a", "b", "x", "y", "est"])
 
         for batch in batches:
             if batch.num_rows:
@@ -277,8 +297,8 @@ def _likely_pairs(rows: DataFrame, percent: int, banded: bool) -> DataFrame:
         if rest is not None:
             yield from groups(rest, True)
 
-    dealt = one.unionAll(many).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return dealt.mapInArrow(run, "a long, b long, x long, y long, est long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -305,20 +325,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(_confirmed(pairs, sets, percent, shingle).unionAll(several.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "near-links")
     found = connected(links)
 
-    placed = members.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    placed = staged(placed, "near-placed")
-    open_buckets = placed.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("o_bucket")
-    mixed = staged(placed.join(staged(open_buckets, "near-open"), F.col("bucket") == F.col("o_bucket")).select("bucket", "members", F.col("rep").alias("id"), "component"), "near-mixed")
+    placed = members.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = staged(placed.select("bucket", F.col("rep").alias("id"), "component"), "near-placed")
+    stats = staged(_main_components(placed), "near-open")
     sketches = sets.select(F.col("id").alias("k_id"), "n", "sketch", "bands")
-    sketched = lambda rows: rows.join(sketches, F.col("id") == F.col("k_id")).select("bucket", "members", "id", "component", "n", "sketch", "bands")
-    likely = _likely_pairs(sketched(mixed.where(F.col("members") <= BLOCK)), percent, True)
-    large = mixed.where(F.col("members") > BLOCK).select("id", "component").distinct()
-    if not large.isEmpty():
-        rare = staged(_rare_buckets(large, sets, percent), "near-rare")
-        sizes = rare.groupBy(F.col("bucket").alias("r_bucket")).agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-        rare = rare.join(sizes, F.col("bucket") == F.col("r_bucket")).select("bucket", "members", "id", "component")
-        likely = likely.unionAll(_likely_pairs(sketched(rare), percent, False))
-    more = staged(_confirmed(staged(likely.distinct(), "near-likely"), sets, percent, shingle), "near-links")
+    likely = _likely_pairs(placed, stats.where(F.col("others") <= BLOCK), sketches, percent, True)
+    wide = stats.where(F.col("others") > BLOCK).select(F.col("s_bucket").alias("w_bucket"))
+    wide = staged(placed.join(wide, F.col("bucket") == F.col("w_bucket")).select("id", "component").distinct(), "near-wide")
+    if not wide.isEmpty():
+        rare = staged(_rare_buckets(wide, sets, percent), "near-rare")
+        likely = likely.unionAll(_likely_pairs(rare, _main_components(rare), sketches, percent, False))
+    likely = staged(likely.distinct(), "near-likely")
+    # Of two components the likeliest pair first: where it is a link, no other pair of the two can add anything.
+    pair = F.struct("est", "a", "b")
+    first = likely.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.max(pair).alias("p")).select("p.a", "p.b")
+    more = staged(_confirmed(first, sets, percent, shingle), "near-links")
+    if not more.isEmpty():
+        found = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+    at = lambda c: found.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_now"))
+    rest = likely.join(first.select(F.col("a").alias("f_a"), F.col("b").alias("f_b")), (F.col("a") == F.col("f_a")) & (F.col("b") == F.col("f_b")), "left_anti")
+    rest = rest.join(at("a"), F.col("a") == F.col("a_node"), "left").join(at("b"), F.col("b") == F.col("b_node"), "left")
+    rest = rest.where(F.coalesce("a_now", "a") != F.coalesce("b_now", "b")).select("a", "b").distinct()
+    more = staged(_confirmed(rest, sets, percent, shingle), "near-links")
     if not more.isEmpty():
         found = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
