@@ -18,8 +18,8 @@ _STEP = 17
 class BitTable:
     """The bits of a column of longs that are hashes; ``n`` is about how many there are."""
 
-    def __init__(self, hashes: DataFrame, n: int, probes: int = 1):
-        bits = min(max((8 * probes * n).bit_length(), LEAST_BITS), MOST_BITS)
+    def __init__(self, hashes: DataFrame, n: int, probes: int = 1, least_bits: int = LEAST_BITS):
+        bits = min(max((8 * probes * n).bit_length(), least_bits), MOST_BITS)
         self.mask, self.probes = (1 << bits) - 1, probes
         slots = ", ".join(f"shiftrightunsigned({hashes.columns[0]}, {p * _STEP}) & {self.mask}L" for p in range(probes))
         rows = hashes.selectExpr(f"explode(array({slots})) as slot").selectExpr("cast(shiftright(slot, 6) as int) as word", "shiftleft(1L, cast(slot & 63 as int)) as bit")

@@ -27,6 +27,8 @@ from millrace.llm._scratch import staged, without
 #: 1 selects a word, 0 ignores it. A greedy cover of the 931 shortest patterns of agreeing and other words
 #: that MIN_WORDS and MIN_SHARE admit (those that hold no shorter one; at most 26 words): each holds a mask.
 MASKS = ("1111011", "1110100011", "10010010111", "1110000100011", "1100010001011", "101100010101", "1111101")
+#: log2 of the bits of the table of seeds: a document has a position and seven masks for each word, so little may slip through.
+SEED_BITS = 26
 #: An overlap counts from so many agreeing words, if they are such a share of it.
 MIN_WORDS = 10
 MIN_SHARE = 0.75
@@ -110,7 +112,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     seeds, items = benchmark_tables(bench, item_col, item_text_col)
-    table = spark.sparkContext.broadcast(BitTable(seeds.select("hash"), seeds.count(), probes=3))
+    table = spark.sparkContext.broadcast(BitTable(seeds.select("hash"), seeds.count(), probes=3, least_bits=SEED_BITS))
     reach = items.agg(F.max(F.size("item_words"))).first()[0] or 0
     short = items.where(F.size("item_words").between(1, MIN_WORDS - 1)).select(F.size("item_words").alias("n")).distinct().orderBy("n")
     masks = MASKS + tuple("1" * x.n for x in short.collect())
