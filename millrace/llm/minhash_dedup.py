@@ -63,6 +63,16 @@ def _extremes(values: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.n
     return out
 
 
+def _sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The low bytes of the extremes under SKETCH permutations of each run of values, a few hundred runs at a time."""
+    ends = np.concatenate([starts[1:], [len(values)]])
+    out = np.empty((len(starts), 2 * SKETCH), np.uint8)
+    for a in range(0, len(starts), 256):
+        b = min(a + 256, len(starts))
+        out[a:b] = _extremes(values[starts[a] : ends[b - 1]], starts[a:b] - starts[a], SKETCH, 12) & np.uint64(255)
+    return out
+
+
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Distinct shingles of each text as hashes, ascending, flat with offsets; and the normalised texts."""
     words = _text.Words(_text.lower(data), offsets)
@@ -163,7 +173,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k:
                 if not len(full):
                     continue
                 bounds = np.concatenate([cuts[:-1][full], [cuts[-1]]])
-                sketch = (_extremes(sets, bounds[:-1], SKETCH, 12) & np.uint64(255)).astype(np.uint8)
+                sketch = _sketches(sets, bounds[:-1])
                 held = [[r.tobytes() for r in sketch], [r.tobytes() for r in _bands(sets, bounds[:-1])]]
                 texts = [texts[i] for i in full.tolist()]
                 same = [blake2b(t, digest_size=16).digest() for t in texts]
