@@ -37,8 +37,8 @@ from millrace.llm._bits import BitTable
 from millrace.llm._scratch import staged
 
 #: Contents of a core that a task takes together; a core with more is split into its windows.
-HOT = 1000
-#: Parts of a core or window that very many kinds have, in the joins that look it up.
+HOT = 4000
+#: Parts of a core that very many kinds have, in the joins that look it up.
 SALTS = 16
 #: Representatives that a bit table tells apart well enough; of more, contents are fetched by a join.
 MAX_ENTRIES = 1 << 26
@@ -355,7 +355,7 @@ RUN = "key long, digest long, total long, later boolean, lo long, hi long"
 
 
 def _salted(rows: DataFrame, few: DataFrame, left: str, right: str, how: str) -> DataFrame:
-    """rows of kinds joined with ``few`` (a row for each value), a frequent value in SALTS parts."""
+    """rows of kinds joined with the ``few`` values that very many of them have, each value in SALTS parts."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "digest"), F.lit(SALTS)))
     parts = few.withColumn("f_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(parts.hint("merge"), (F.col(left) == F.col(right)) & (F.col("salt") == F.col("f_salt")), how)
@@ -436,7 +436,7 @@ def _by_window(members: DataFrame, plan: Plan) -> DataFrame:
     proven = _by_kernel(held.select("g_h", "g_least", further.alias("many"), F.col("o_at") - F.col("skip"), "content").mapInArrow(cut, MEMBER), plan)
     proven = staged(proven.select(F.col("key").alias("p_h")).distinct(), "window-proven")
     known = groups.select("g_h", "g_least").join(proven.hint("merge"), F.col("g_h") == F.col("p_h"))
-    hit = _salted(rows, known, "h", "g_h", "inner")
+    hit = rows.join(known.hint("merge"), F.col("h") == F.col("g_h"))
     place = [F.col("at").alias("lo"), F.col("at").alias("hi")]
     if not plan.earlier:
         return hit.select("key", "digest", "total", F.lit(False).alias("later"), *place)
