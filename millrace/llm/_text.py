@@ -14,6 +14,9 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
+# Workers are kept for later stages; what a batch took should go back to the system, not stay in a pool.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that are held in numpy arrays at a time; one longer text is taken alone, whole.
 SLICE_BYTES = 1 << 18
 
