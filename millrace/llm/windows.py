@@ -19,7 +19,8 @@ windows, are what is compared:
 Scans read the documents in place; of text, one stretch of each kind whose anchor has several is shuffled. Bit tables
 of bounded size tell what cannot be; what they let through is joined exactly, so a full table costs rows
 and never results. Of more representatives than a table tells apart, contents are fetched by a join. A core of more than HOT contents is split: its windows
-are aggregated, and one representative of each repeated window goes through the kernel with its count.
+are aggregated, and one representative of each repeated window goes through the kernel with its count. Only contents whose
+core may be such a one, by a bit table, are joined to tell; the others are not shuffled for that.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,8 +220,11 @@ def repeated_windows(docs: DataFrame, plan: Plan) -> DataFrame:
     if hot.isEmpty():
         fine = _by_kernel(members, plan)
     else:
-        cool, warm = (_salted(members, hot, "core", "h_core", how).select(*_MEMBER) for how in ("left_anti", "left_semi"))
-        fine = _by_kernel(cool, plan).unionAll(_by_window(warm, plan))
+        table = context.broadcast(BitTable(hot, hot.count()))
+        sure, perhaps = (_sifted(members, table, x) for x in (False, True))
+        perhaps = staged(perhaps, "window-perhaps")
+        cool, warm = (_salted(perhaps, hot, "core", "h_core", how).select(*_MEMBER) for how in ("left_anti", "left_semi"))
+        fine = _by_kernel(sure.unionAll(cool), plan).unionAll(_by_window(warm, plan))
     own = both.where("side = 2").join(lone.hint("merge"), rep).where("many")
     own = own.select("key", "digest", F.col("anchor").alias("total"), F.lit(plan.earlier).alias("later"), F.col("first").alias("lo"), F.col("last").alias("hi"))
     fine = staged(fine.unionAll(own), "window-fine")
@@ -354,6 +359,19 @@ def _cores(members: DataFrame, plan: Plan) -> DataFrame:
 RUN = "key long, digest long, total long, later boolean, lo long, hi long"
 
 
+def _sifted(members: DataFrame, table: Broadcast, held: bool) -> DataFrame:
+    """MEMBER rows whose core may be in the bit table (held), or certainly is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core = np.asarray(batch.column(0), np.int64).view(np.uint64)
+            out = batch.filter(pa.array(table.value.may_hold(core) == held))
+            if out.num_rows:
+                yield out
+
+    return members.select(*_MEMBER).mapInArrow(run, MEMBER)
+
+
 def _salted(rows: DataFrame, few: DataFrame, left: str, right: str, how: str) -> DataFrame:
     """rows of kinds joined with the ``few`` values that very many of them have, each value in SALTS parts."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "digest"), F.lit(SALTS)))

@@ -77,6 +77,28 @@ def test_hot_cores_are_split(spark, monkeypatch, hot):
         assert bytes(x.kept) == bytes(c for k, c in enumerate(t) if k not in gone)
 
 
+def test_hot_cores_leave_others_alone(spark, monkeypatch):
+    """For the sake of one hot core, contents of other cores are not shuffled again."""
+    r = random.Random(11)
+    own = [words(60, r, 10**9) for _ in range(300)]
+    texts = [" ".join([*words(5, r, 10**9), *p, *words(5, r, 10**9)]) for p in [*own, *own, *[words(60, r, 10**9)] * 8]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    took = []
+    for hot in (1000, 5):
+        monkeypatch.setattr(windows, "HOT", hot)
+        before = shuffled()
+        assert {x.doc_id: x.kept for x in substring_dedup.remove_repeats(df).collect()} == brute_words(rows, 50)
+        took.append(shuffled() - before)
+    assert took[0] > 500_000 and took[1] < 1.3 * took[0], took
+
+
 def test_full_bit_tables(spark, monkeypatch):
     """More entries than a table tells apart: contents and texts come by joins."""
     monkeypatch.setattr(windows, "MAX_ENTRIES", 0)
