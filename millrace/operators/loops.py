@@ -2,8 +2,8 @@
 
 Spark plans have no cycles. Where an element's way round the loop depends on itself alone, the loop
 runs inside the task that holds the element, which scales with the input and shuffles nothing; where
-the forward flow is a DataFrame function of all elements, a driver loop runs it to its fixpoint over
-a shrinking frontier whose lineage is cut in every round.
+the way round is a DataFrame function or SQL, a driver loop runs it to its fixpoint over a shrinking
+frontier whose lineage is cut in every round.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.plans.checkpoints import cut
+from millrace.plans.checkpoints import cut, put
 
 _BATCH = 4096
 
+#: Steps of unfold_sql in a round.
+_UNROLLED = 32
+
 
 #: Session setting: seconds after which a call of a retried flow has failed, where no timeout_s is given.
 RETRY_TIMEOUT = "spark.millrace.retry.timeout"
@@ -70,6 +74,12 @@ def _frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=names, dtype=object)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all tasks: seeds that become many rows each may lie in one small file, which is one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def unfold_flow_with(seeds: DataFrame, seed: str, step: Callable[[Any], tuple[Any, Any] | None], element_type: str, max_steps: int = 1_000_000, timeout_s: float | None = None) -> DataFrame:
     """(seed, step, element) of state -> (next state, element), until None; lazy within a batch.
 
@@ -114,18 +124,39 @@ class _Ended:
 
 
 def unfold_sql(seeds: DataFrame, seed: str, next_state: str, goes_on: str, max_steps: int = 1000) -> DataFrame:
-    """(seed, step, element) by a recursive query: elements while ``goes_on`` holds of ``state``; SQL expressions.
+    """(seed, step, element): elements while ``goes_on`` holds of ``state``; SQL expressions, also of ``seed`` and ``step``.
 
-    The engine fails a recursion of more than spark.sql.cteRecursionRowLimit rows.
+    A driver loop goes on by _UNROLLED steps a round, each evaluated once. A round's chains are a table in the shared
+    folder, which gives the elements and the next round, so neither levels nor rows pile up in one plan or executor as
+    in a recursive query (that fails beyond spark.sql.cteRecursionRowLimit). A chain of more than max_steps fails.
     """
-    kind = dict(seeds.dtypes)[seed]
-    return seeds.sparkSession.sql(
-        f"WITH RECURSIVE chain(seed, step, state) MAX RECURSION LEVEL {max_steps} AS ("
-        f" SELECT {seed}, 1L, {seed} FROM {{seeds}} WHERE {seed} IS NOT NULL"
-        f" UNION ALL SELECT seed, step + 1L, CAST({next_state} AS {kind}) FROM chain WHERE {goes_on})"
-        f" SELECT seed, step, state AS element FROM chain WHERE {goes_on}",
-        seeds=seeds,
-    )
+    spark, kind = seeds.sparkSession, dict(seeds.dtypes)[seed]
+    frontier = _spread(seeds.select(F.col(seed).alias("seed"), F.lit(1).cast("long").alias("step"), F.col(seed).alias("state")).where("seed IS NOT NULL"))
+    rounds: list[str] = []
+    while True:
+        chains = _unrolled(frontier, next_state, goes_on, kind)
+        rounds.append(put(chains))
+        done = spark.read.schema(chains.schema).parquet(rounds[-1])
+        open_chains, longest = done.agg(F.count_if("going"), F.max(F.col("step") + F.col("n") - 1)).first()
+        if longest is not None and longest > max_steps:
+            raise RuntimeError(f"no end after {max_steps} steps")
+        if not open_chains:
+            break
+        frontier = done.where("going").selectExpr("seed", f"step + {_UNROLLED}L AS step", "state")
+    return spark.read.schema(done.schema).parquet(*rounds).select("seed", "step", F.posexplode("elements").alias("pos", "element")).selectExpr("seed", "step + pos AS step", "element")
+
+
+def _unrolled(frontier: DataFrame, next_state: str, goes_on: str, kind: str) -> DataFrame:
+    """_UNROLLED steps of each (seed, step, state): its elements, their number, and the state behind them where the chain is ``going`` on.
+
+    Two projections a step, so that no expression is copied into those that use its value, each resolved before the next.
+    """
+    plan, held = frontier.selectExpr("seed", "step", "state", "true AS going", "0 AS n"), []
+    for i in range(_UNROLLED):
+        plan = plan.selectExpr("seed", "step", "state", *held, "n", f"going AND coalesce(({goes_on}), false) AS going")
+        plan = plan.selectExpr("seed", "step + 1L AS step", *held, f"state AS _{i}", "n + int(going) AS n", "going", f"CASE WHEN going THEN CAST(({next_state}) AS {kind}) END AS state")
+        held.append(f"_{i}")
+    return plan.selectExpr("seed", f"step - {_UNROLLED}L AS step", "n", "going", "state", f"slice(array({', '.join(held)}), 1, n) AS elements")
 
 
 def feedback_loop(df: DataFrame, forward: Callable[[DataFrame], tuple[DataFrame, DataFrame]], max_iterations: int = 100, feedback_buffer_size: int | None = None) -> DataFrame:
@@ -134,8 +165,6 @@ def feedback_loop(df: DataFrame, forward: Callable[[DataFrame], tuple[DataFrame,
     Ends when nothing comes back; more than max_iterations rounds or more than feedback_buffer_size rows
     in a round fail. forward must give df's columns on its second output.
     """
-    from pyspark.sql import functions as F
-
     outs, frontier, i = [], df, 0
     while True:
         out, back = forward(frontier)

@@ -20,12 +20,16 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
 
 
+def put(df: DataFrame) -> str:
+    """The place in the shared folder that df was written to."""
+    path = f"{folder(df.sparkSession)}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to and read from the shared folder."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(put(df))
 
 
 def clear(spark: SparkSession) -> None:

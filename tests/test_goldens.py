@@ -264,6 +264,30 @@ def test_unfold(spark):
         loops.unfold_flow_with(seeds, "n", lambda n: (n, n), "long", max_steps=50).collect()
 
 
+def test_unfold_sql_beyond_the_row_limit_of_recursion(spark):
+    half, more = "state div 2", "state > 0"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        got = loops.unfold_sql(spark.range(3000), "id", half, more)
+        assert got.dtypes == [("seed", "bigint"), ("step", "bigint"), ("element", "bigint")]
+        want = {(i, k + 1, i >> k) for i in range(3000) for k in range(i.bit_length())}
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_unfold_sql_rounds(spark):
+    down = loops.unfold_sql(spark.createDataFrame([(0,), (1,), (31,), (32,), (33,), (100,), (100,), (None,)], "n int"), "n", "state - 1", "state > 0", 100)
+    assert sorted(tuple(r) for r in down.collect()) == sorted((n, k + 1, n - k) for n in (1, 31, 32, 33, 100, 100) for k in range(n))
+    with pytest.raises(Exception, match="no end after 99"):
+        loops.unfold_sql(spark.range(100, 101), "id", "state - 1", "state > 0", 99).collect()
+    assert loops.unfold_sql(spark.range(0), "id", "state - 1", "state > 0").count() == 0
+    others = loops.unfold_sql(spark.range(1, 3), "id", "IF(step < 3, NULL, seed * 10)", "coalesce(state, 1) < 10", 5)
+    assert sorted(map(str, (tuple(r) for r in others.collect()))) == [str((i, k, i if k == 1 else None)) for i in (1, 2) for k in (1, 2, 3)]
+    assert loops.unfold_sql(spark.range(4), "id", "state - 1 + 0 * (10 div state)", "state > 0").count() == 6  # 10 div 0 is not reached
+
+
 def test_metrics(spark):
     df = spark.range(1, 21).select(F.col("id").alias("seq"), (F.col("id") * 10).alias("a"))
     s = Stream(df, "seq", (), "a")
