@@ -12,8 +12,10 @@ import queue
 import threading
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from millrace.plans.checkpoints import cut, put
 
 _BATCH = 4096
 
+#: Types of few bytes, of which a batch may hold four times as many rows.
+_SMALL = {"boolean", "tinyint", "byte", "smallint", "short", "int", "integer", "bigint", "long", "float", "double", "date"}
+
 #: Steps of unfold_sql in a round.
 _UNROLLED = 32
 
@@ -85,42 +90,72 @@ def unfold_flow_with(seeds: DataFrame, seed: str, step: Callable[[Any], tuple[An
 
     A chain of more than max_steps fails, and so does a step that takes longer than timeout_s. Null seeds give no rows.
     """
-    kind = dict(seeds.dtypes)[seed]
     step = _within(step, timeout_s)
 
-    def chains(values: Iterable[Any]) -> Iterator[tuple]:
-        for first in values:
-            state, n = first, 0
-            while (got := step(state)) is not None:
-                n += 1
-                if n > max_steps:
-                    raise RuntimeError(f"no end after {max_steps} steps from {first!r}")
-                state = got[0]
-                yield first, n, got[1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield from _frames(chains(batch[seed].dropna().tolist()), ["seed", "step", "element"])
+    def chain(state: Any) -> Iterator[Any]:
+        while (got := step(state)) is not None:
+            state = got[0]
+            yield got[1]
 
-    return seeds.select(seed).mapInPandas(run, f"seed {kind}, step long, element {element_type}")
+    return _unfolded(seeds, seed, chain, element_type, max_steps)
 
 
 def unfold_flow(seeds: DataFrame, seed: str, flow: Callable[[Any], tuple[Any, Any]], element_type: str, max_steps: int = 1_000_000, timeout_s: float | None = None) -> DataFrame:
     """As unfold_flow_with, but the flow ends the chain by raising StopIteration; its value, if any, is a last element."""
+    flow = _within(flow, timeout_s)
+
+    def chain(state: Any) -> Iterator[Any]:
+        while True:
+            try:
+                got = flow(state)
+            except StopIteration as end:
+                if end.value is not None:
+                    yield end.value
+                return
+            if got is None:
+                return
+            state = got[0]
+            yield got[1]
+
+    return _unfolded(seeds, seed, chain, element_type, max_steps)
 
-    def step(state: Any) -> tuple[Any, Any] | None:
-        if isinstance(state, _Ended):
-            return None
-        try:
-            return flow(state)
-        except StopIteration as end:
-            return None if end.value is None else (_Ended(), end.value)
 
-    return unfold_flow_with(seeds, seed, step, element_type, max_steps, timeout_s)
+def _unfolded(seeds: DataFrame, seed: str, chain: Callable[[Any], Iterator[Any]], element_type: str, max_steps: int) -> DataFrame:
+    """(seed, step, element) of the elements of chain(seed); seeds are dealt to all tasks, columns built for a batch at once."""
+    kind = dict(seeds.dtypes)[seed]
+    size = 4 * _BATCH if {kind, element_type.lower()} <= _SMALL else _BATCH
 
+    def frame(firsts: pd.Series, runs: list[tuple[int, int, int]], elements: list[Any]) -> pd.DataFrame:
+        at, begin, count = np.array(runs, dtype=np.int64).T
+        steps = np.arange(len(elements)) + np.repeat(begin - np.cumsum(count) + count, count)
+        repeated = firsts.take(np.repeat(at, count)).reset_index(drop=True)
+        return pd.DataFrame({"seed": repeated, "step": steps, "element": pd.Series(elements, dtype=object)}, copy=False)
 
-class _Ended:
-    pass
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            firsts = batch[seed]
+            runs: list[tuple[int, int, int]] = []  # place of the seed, first step, number of elements
+            elements: list[Any] = []
+            for at, first in enumerate(firsts.tolist()):
+                rest, n = chain(first), 0
+                while True:
+                    held, room = len(elements), min(size - len(elements), max_steps + 1 - n)
+                    elements.extend(islice(rest, room))
+                    got = len(elements) - held
+                    if n + got > max_steps:
+                        raise RuntimeError(f"no end after {max_steps} steps from {first!r}")
+                    if got:
+                        runs.append((at, n + 1, got))
+                        n += got
+                    if len(elements) >= size:
+                        yield frame(firsts, runs, elements)
+                        runs, elements = [], []
+                    if got < room:
+                        break
+            if elements:
+                yield frame(firsts, runs, elements)
+
+    return _spread(seeds.select(seed).where(F.col(seed).isNotNull())).mapInPandas(run, f"seed {kind}, step long, element {element_type}")
 
 
 def unfold_sql(seeds: DataFrame, seed: str, next_state: str, goes_on: str, max_steps: int = 1000) -> DataFrame:

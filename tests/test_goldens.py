@@ -264,6 +264,36 @@ def test_unfold(spark):
         loops.unfold_flow_with(seeds, "n", lambda n: (n, n), "long", max_steps=50).collect()
 
 
+def test_unfolds_are_dealt_to_all_tasks(spark):
+    one = spark.range(40).coalesce(1)
+
+    def down(n):
+        if n == 0:
+            raise StopIteration
+        return n - 1, n
+
+    for out in (loops.unfold_flow_with(one, "id", lambda n: (n - 1, n) if n else None, "long"), loops.unfold_flow(one, "id", down, "long")):
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.seed, r.step, r.element) for r in rows) == sorted((n, k + 1, n - k) for n in range(40) for k in range(n))
+        assert len({r.task for r in rows}) == 4
+
+
+def test_unfold_batches(spark):
+    big = 2**60 + 1
+    seeds = spark.createDataFrame([(big,), (None,), (3,), (big,)], "n long").coalesce(1)
+    up = loops.unfold_flow_with(seeds, "n", lambda s: (s + 1, s) if s != 3 and s < big + 40_000 else None, "long")
+    whole = F.expr("sum(element - seed)").alias("more")
+    assert [tuple(r) for r in up.groupBy("seed").agg(F.count("*"), F.max("step"), F.count_distinct("step"), F.max("element"), whole).collect()] == [
+        (big, 80_000, 40_000, 40_000, big + 39_999, 40_000 * 39_999)]
+    words = loops.unfold_flow_with(spark.createDataFrame([("ab",), ("",), ("abc",)], "w string"), "w", lambda w: (w[1:], w if len(w) > 1 else None) if w else None, "string")
+    assert sorted((r.seed, r.step, r.element or "-") for r in words.collect()) == [("ab", 1, "ab"), ("ab", 2, "-"), ("abc", 1, "abc"), ("abc", 2, "bc"), ("abc", 3, "-")]
+    for most in (4096, 16_384, 20_000):
+        exact = lambda s, most=most: (s + 1, s) if s < most else None
+        assert loops.unfold_flow_with(spark.range(1), "id", exact, "long", max_steps=most).count() == most
+        with pytest.raises(Exception, match="no end"):
+            loops.unfold_flow_with(spark.range(1), "id", exact, "long", max_steps=most - 1).count()
+
+
 def test_unfold_sql_beyond_the_row_limit_of_recursion(spark):
     half, more = "state div 2", "state > 0"
     spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
