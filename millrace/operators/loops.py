@@ -1,9 +1,10 @@
 """Cycles: feedback, retries and unfolding.
 
 Spark plans have no cycles. Where an element's way round the loop depends on itself alone, the loop
-runs inside the task that holds the element, which scales with the input and shuffles nothing; where
-the way round is a DataFrame function or SQL, a driver loop runs it to its fixpoint over a shrinking
-frontier whose lineage is cut in every round.
+runs inside the task that holds the element, which scales with the input; only where an element becomes
+many (unfolds, feedback_each) are elements first dealt to all tasks. Where the way round is a DataFrame
+function or SQL, a driver loop runs it to its fixpoint over a shrinking frontier whose lineage is cut in
+every round.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def _frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """df dealt evenly to all tasks: seeds that become many rows each may lie in one small file, which is one task."""
+    """df dealt evenly to all tasks: elements that become many rows each may lie in one small file, which is one task."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
@@ -133,7 +134,7 @@ def _unfolded(seeds: DataFrame, seed: str, chain: Callable[[Any], Iterator[Any]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            firsts = batch[seed]
+            firsts = batch[seed].dropna()
             runs: list[tuple[int, int, int]] = []  # place of the seed, first step, number of elements
             elements: list[Any] = []
             for at, first in enumerate(firsts.tolist()):
@@ -247,7 +248,7 @@ def feedback_each(df: DataFrame, value: str, forward: Callable[[Any], tuple[list
         for batch in batches:
             yield from _frames(loops(batch[value].tolist()), ["source", "emit_order", "element"])
 
-    return df.select(value).mapInPandas(run, f"source {kind}, emit_order long, element {out_type}")
+    return _spread(df.select(value)).mapInPandas(run, f"source {kind}, emit_order long, element {out_type}")
 
 
 def retry(df: DataFrame, key: str, value: str, state: str, flow: Callable[[Any], Any], retry_with: Callable[[Any], tuple[Any, Any] | None], result_type: str, max_attempts: int = 1000, timeout_s: float | None = None) -> DataFrame:

@@ -278,6 +278,13 @@ def test_unfolds_are_dealt_to_all_tasks(spark):
         assert len({r.task for r in rows}) == 4
 
 
+def test_feedback_each_is_dealt_to_all_tasks(spark):
+    out = loops.feedback_each(spark.range(5000).coalesce(1), "id", lambda i: ([i], [i - 5000] if i >= 5000 else []), "long")
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.source, r.emit_order, r.element) for r in rows) == [(i, 1, i) for i in range(5000)]
+    assert len({r.task for r in rows}) == 4
+
+
 def test_unfold_batches(spark):
     big = 2**60 + 1
     seeds = spark.createDataFrame([(big,), (None,), (3,), (big,)], "n long").coalesce(1)
@@ -287,6 +294,17 @@ def test_unfold_batches(spark):
         (big, 80_000, 40_000, 40_000, big + 39_999, 40_000 * 39_999)]
     words = loops.unfold_flow_with(spark.createDataFrame([("ab",), ("",), ("abc",)], "w string"), "w", lambda w: (w[1:], w if len(w) > 1 else None) if w else None, "string")
     assert sorted((r.seed, r.step, r.element or "-") for r in words.collect()) == [("ab", 1, "ab"), ("ab", 2, "-"), ("abc", 1, "abc"), ("abc", 2, "bc"), ("abc", 3, "-")]
+
+
+def test_unfold_limits(spark):
+    def down(n):
+        if n == 0:
+            raise StopIteration(7)
+        return n - 1, n
+
+    assert col(loops.unfold_flow(spark.range(3, 4), "id", down, "long", max_steps=4, timeout_s=20.0), "element", "step") == [3, 2, 1, 7]
+    with pytest.raises(Exception, match="no end after 3"):
+        loops.unfold_flow(spark.range(3, 4), "id", down, "long", max_steps=3).collect()
     for most in (4096, 16_384, 20_000):
         exact = lambda s, most=most: (s + 1, s) if s < most else None
         assert loops.unfold_flow_with(spark.range(1), "id", exact, "long", max_steps=most).count() == most
